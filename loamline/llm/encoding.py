@@ -48,7 +48,7 @@ _KEEP_BYTES = 64
 class PieceEncoder:
     """Encode texts with a tokenizer file; ``keep`` bounds the pieces remembered (two generations of so many)."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
@@ -111,7 +111,7 @@ class PieceEncoder:
         else:  # white space is dropped, ASCII letters lower-cased unless a combining mark may follow
             cut = ~space & (first | np.concatenate([[False], space[:-1]]) | (_STOP[raw] & after))
             raw = np.where(np.concatenate([raw[1:] < 0x80, [True]]), _LOWER[raw], raw)[~space]
-            moved = np.concatenate([[0], np.cumsum(~space)])
+            moved = np.concatenate([[0], np.cumsum(~space, dtype=np.int32)])
             ends, at = moved[ends], moved[np.flatnonzero(cut)]
         if not len(at):
             return np.zeros(0, "<u4"), np.zeros(len(ends), np.int64)
@@ -228,7 +228,7 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def slices(texts: pa.Array, size: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many bytes at most, one row at least."""
     import pyarrow.compute as pc
 
