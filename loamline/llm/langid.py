@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.encoding import slices
-from loamline.llm.words import fold_of
+from loamline.llm.words import fold_of, keep_where
 
 DIM = 4096
 _ROWS = 256
@@ -83,6 +83,16 @@ class Model:
     centroids: np.ndarray
     floors: np.ndarray
 
+    def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best centroid of each text (-1: none), its cosine, and whether the text is rejected."""
+        best, cosine = np.full(len(texts), -1), np.zeros(len(texts))
+        for lo, hi in _parts(texts) if self.languages else ():
+            x, ok = vectors(texts[lo:hi], self.idf)
+            near = x @ self.centroids.T
+            best[lo:hi] = np.where(ok, near.argmax(1), -1)
+            cosine[lo:hi] = np.where(ok, near.max(1), 0)
+        return best, np.clip(cosine, 0, 1), (best < 0) | (cosine < (self.floors[best] if self.languages else 0))
+
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means from farthest-point seeds; centroids and members' cosines to their own."""
@@ -117,8 +127,9 @@ def fit(docs: DataFrame, *, per_language: int = 400, clusters: int = 4, slack: f
     seen = dict(map(tuple, rows.select("text").mapInArrow(frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()))
     idf = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(i, 0) for i in range(DIM)]))) + 1
     hashed = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)).alias("u")
+    # a row for each language, of which the model holds vectors
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    likely = rows.select("doc_id", "lang", hashed).join(sizes, "lang").filter(F.col("u") * F.col("n") < 2 * per_language)
+    likely = rows.select("doc_id", "lang", hashed).join(F.broadcast(sizes), "lang").filter(F.col("u") * F.col("n") < 2 * per_language)
     ids = likely.selectExpr("doc_id", "lang", "row_number() over (partition by lang order by u, doc_id) as k").filter(f"k <= {per_language}")
     sample = rows.select("doc_id", "text").join(ids, "doc_id")
 
@@ -143,22 +154,21 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",
     keep = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = told.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            best, cosine = np.full(len(texts), -1), np.zeros(len(texts))
-            for lo, hi in _parts(texts) if m.languages else ():
-                x, ok = vectors(texts[lo:hi], m.idf)
-                near = x @ m.centroids.T
-                best[lo:hi] = np.where(ok, near.argmax(1), -1)
-                cosine[lo:hi] = np.where(ok, near.max(1), 0)
-            out = [*batch.columns[:-1], pa.array([m.languages[i] if i >= 0 else "und" for i in best]), pa.array(np.clip(cosine, 0, 1).astype(float)), pa.array((best < 0) | (cosine < (m.floors[best] if m.languages else 0)))]
-            yield pa.RecordBatch.from_arrays(out, [*columns, "lang_pred", "score", "rejected"])
+            best, cosine, rejected = told.value.judge(batch.column(batch.num_columns - 1))
+            languages = [told.value.languages[i] if i >= 0 else "und" for i in best]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(languages, pa.string()), pa.array(cosine), pa.array(rejected)], [*columns, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     return keep.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
 
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents that aren't rejected, all columns as they are."""
+    told = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_where(docs, lambda texts: ~told.value.judge(texts)[2], text_col)
+
+
 def identify(docs: DataFrame, *, parts: int = 4, held: int = 2) -> DataFrame:
     """Learn from the documents out of the held-out fold and predict all: ``doc_id, held_out, lang_pred, score, rejected``."""
     model = fit(docs.filter(fold_of("doc_id", parts) != held))

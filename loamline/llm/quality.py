@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.encoding import slices
-from loamline.llm.words import fold_of, labelled_sample, raw_bytes, words_of
+from loamline.llm.words import fold_of, keep_where, labelled_sample, raw_bytes, words_of
 
 PASSAGE = 64
 #: Kinds of bytes: lower, upper, digit, space, line end, stop or comma, ! or ?, bar, other symbols, brackets and quotes, other, beyond ASCII.
@@ -173,6 +173,12 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
     return docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{fields}, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The documents that score ``threshold`` or more, all columns as they are."""
+    told = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_where(docs, lambda texts: np.concatenate([np.zeros(0, bool), *(told.value.score(*features(texts[lo:hi])) >= threshold for lo, hi in slices(texts, 1_000_000))]), text_col)
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, parts: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
     """Learn out of the held-out fold and score all: ``doc_id, held_out, score, predicted``."""
     model = fit(docs, labels, fold_of("doc_id", parts) != held)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,3 +53,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fold: F.Col
 def fold_of(column: str, parts: int) -> F.Column:
     """``crc32(id as text) mod parts``."""
     return F.crc32(F.col(column).cast("string")) % parts
+
+
+def keep_where(docs: DataFrame, decide: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, for whose texts ``decide`` holds."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = pa.array(decide(batch.column(at).cast(pa.string())), pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], names)
+
+    return docs.mapInArrow(run, docs.schema)
