@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import ann, hosts, langid, mixing, packing, quality, records, simhash, toxicity
+from loamline.llm import ann, hosts, langid, mixing, outliers, packing, quality, records, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document, and whether it lies within its language's and source's robust scatter."""
+    return outliers.judge(_table(spark, sf_dir, "documents"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned out of the held-out fold."""
     return langid.identify(_table(spark, sf_dir, "documents"))
@@ -60,5 +65,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_langid, op3_mixing, op4_quality, op5_simhash, op6_hosts, op7_records, op8_packing, op9_toxicity, op10_ann)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_outliers, op2_langid, op3_mixing, op4_quality, op5_simhash, op6_hosts, op7_records, op8_packing, op9_toxicity, op10_ann)}
 SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op6_hosts": hosts.SQL}

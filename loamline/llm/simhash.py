@@ -189,3 +189,24 @@ def near_duplicates(docs: DataFrame, *, large: int = 4096, id_col: str = "doc_id
     linked = components(links(nodes.filter("node is not null"), large))
     labels = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, large: int = 4096, most_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, that with the least id; all columns as they are.
+
+    Documents without an id stay.  Rows with the same id are one document, of which the row with the least text stays.
+    The ids to drop are broadcast if there are ``most_broadcast`` at most, else joined.
+    """
+    found = cut(near_duplicates(docs, large=large, id_col=id_col, text_col=text_col).filter("doc_id is not null"))
+    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again"))
+    n_drop, n_again = drop.count(), again.count()
+    bounded = lambda ids, n: F.broadcast(ids) if n <= most_broadcast else ids
+    own = F.col(id_col).cast("long")
+    kept = docs.join(bounded(drop, n_drop), own == F.col("__drop"), "left_anti") if n_drop else docs
+    if not n_again:
+        return kept
+    once = kept.join(bounded(again, n_again), own == F.col("__again"), "left_anti")
+    more = kept.join(bounded(again, n_again), own == F.col("__again"), "left_semi")
+    least = more.groupBy(own.alias("__own")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("row")).select("row.*")
+    return once.unionByName(least)
