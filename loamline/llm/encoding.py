@@ -14,6 +14,7 @@ ordinary text; nothing is added.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import unicodedata
@@ -48,7 +49,7 @@ _KEEP_BYTES = 64
 class PieceEncoder:
     """Encode texts with a tokenizer file; ``keep`` bounds the pieces remembered (two generations of so many)."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
@@ -238,3 +239,13 @@ def slices(texts: pa.Array, size: int = 3_000_000) -> Iterator[tuple[int, int]]:
         stop = max(start + 1, int(np.searchsorted(at, (at[start - 1] if start else 0) + size, side="right")))
         yield start, stop
         start = stop
+    _release()
+
+
+def _release() -> None:
+    """Give freed memory back to the system; a worker lives through many tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
