@@ -131,7 +131,7 @@ def fit(docs: DataFrame, *, per_language: int = 400, clusters: int = 4, slack: f
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     likely = rows.select("doc_id", "lang", hashed).join(F.broadcast(sizes), "lang").filter(F.col("u") * F.col("n") < 2 * per_language)
     ids = likely.selectExpr("doc_id", "lang", "row_number() over (partition by lang order by u, doc_id) as k").filter(f"k <= {per_language}")
-    sample = rows.select("doc_id", "text").join(ids, "doc_id")
+    sample = rows.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # per_language ids for each language at most
 
     def centroids(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         texts = table.column("text").combine_chunks()
