@@ -110,8 +110,11 @@ def plan(docs: DataFrame, *, entropy: float | None = 0.5, repeats: float | None
     return cut(taken), placed.select("source", "block", "blocks", "_h", "_n")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", columns: list[str] | None = None, **options) -> DataFrame:
-    """The documents of the mixture (``columns``, default all), each as often as it is taken, with ``pass`` and ``block_rank``."""
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", columns: list[str] | None = None, most_broadcast: int = 200_000, **options) -> DataFrame:
+    """The documents of the mixture (``columns``, default all), each as often as it is taken, with ``pass`` and ``block_rank``.
+
+    The tables by source and by block are broadcast if they have ``most_broadcast`` rows at most, else joined.
+    """
     columns = docs.columns if columns is None else columns
     taken, placed = plan(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
     ends = taken.filter("rest is not null").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest")  # one block of each source at most
@@ -121,9 +124,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     blocks = placed.groupBy("source").agg(F.max("blocks").alias("_blocks"))
     sized = blocks.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("_s"), "_blocks", "_until")
     chosen = cut(taken.join(sized, F.col("source").eqNullSafe(F.col("_s"))).select("_s", F.col("block").alias("_b"), F.col("pass").alias("_pass"), F.col("block_rank").alias("_rank"), F.when(F.col("rest").isNotNull(), F.coalesce("_until", F.lit(""))).alias("_until")))
+    sized = cut(sized)
+    small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df
     keyed = docs.select(*{*columns, id_col, source_col}).withColumn("_h", _hash(F.col(source_col), F.col(id_col)))
-    keyed = keyed.join(sized.select(F.col("_s").alias("_of"), "_blocks"), F.col(source_col).eqNullSafe(F.col("_of"))).withColumn("_block", _number(F.col("_h")) % F.col("_blocks"))
-    met = keyed.join(chosen, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_until").isNull() | (F.col("_h") <= F.col("_until"))))
+    keyed = keyed.join(small(sized.select(F.col("_s").alias("_of"), "_blocks")), F.col(source_col).eqNullSafe(F.col("_of"))).withColumn("_block", _number(F.col("_h")) % F.col("_blocks"))
+    met = keyed.join(small(chosen), F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_until").isNull() | (F.col("_h") <= F.col("_until"))))
     return met.select(*columns, F.col("_pass").alias("pass"), F.col("_rank").alias("block_rank"))
 
 
