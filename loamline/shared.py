@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +39,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """Computed once and, if it has ``most`` rows at most, marked for broadcast; a larger table is left to an ordinary join."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df

@@ -13,8 +13,9 @@ from loamline.shared import fresh_path
 
 
 def read_events(spark: SparkSession, path: str, files_a_trigger: int = 1000) -> DataFrame:
-    """Parquet files of events as a stream, with ``ts`` as a timestamp with zone."""
+    """Parquet files of events (a file, a folder or a pattern) as a stream, with ``ts`` as a timestamp with zone."""
     schema = spark.read.parquet(path).schema
+    path = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"  # a pattern may also name a single file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
