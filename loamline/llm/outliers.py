@@ -11,7 +11,7 @@ at all.  A document is rejected when its squared distance exceeds ``limit`` (abo
 
 Groups with fewer than ``least`` documents that pass the base limits are estimated together by language, small languages all together.
 Means and products are sums (combined before the shuffle); quantiles are approximate ones (mergeable too); so no group
-meets in one task, and what joins back to documents is a row for each group.
+meets in one task; what joins back to documents is a row for each group, broadcast if there are 200,000 at most, else joined.
 
 Rules: a null text has no words and fails the base limits, as does any text of under 50 words; null languages and sources are groups of
 their own; with nothing to estimate from, documents are judged by the base limits alone; repeated rows count each; an empty table gives no rows;
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.shared import cut
+from loamline.shared import cut, small
 
 DIMS = 4
 #: Least variances of the transformed statistics.
@@ -127,11 +127,11 @@ def estimates(vectors: DataFrame, *, share: float = 0.75, steps: int = 3, accura
     zero = {f"c{i}{j}": (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)) for i in range(DIMS) for j in range(i + 1)}
     model = _factored(middle.select("grp", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)], *[v.alias(k) for k, v in zero.items()]), F.lit(1.0))
     for _ in range(steps):
-        near = cut(vectors.join(model, "grp").select("grp", *[f"x{i}" for i in range(DIMS)], distance().alias("d")))
-        ends = near.groupBy("grp").agg(F.percentile_approx("d", share, accuracy).alias("end"))
+        near = cut(vectors.join(small(model), "grp").select("grp", *[f"x{i}" for i in range(DIMS)], distance().alias("d")))
+        ends = small(near.groupBy("grp").agg(F.percentile_approx("d", share, accuracy).alias("end")))
         moments = _moments(near.join(ends, "grp").filter("d <= end"))
         # a normal sample cut to its central part has this much of its variance (chi-squared with four degrees of freedom)
-        model = cut(_factored(moments, F.lit(1 / CENTRAL[share])))
+        model = _factored(moments, F.lit(1 / CENTRAL[share]))
     return model
 
 
@@ -157,11 +157,11 @@ def judge(docs: DataFrame, *, least: int = 60, share: float = 0.75, steps: int =
     langs = sizes.groupBy("lang").agg(F.sum(F.when(F.col("n") < least, F.col("n")).otherwise(0)).alias("small"))
     own = F.concat_ws("|", F.lit("s"), F.to_json(F.array("lang", "source")))
     grp = F.when(F.col("n") >= least, own).when(F.col("small") >= least, F.concat_ws("|", F.lit("l"), F.to_json(F.array("lang")))).otherwise("all")
-    groups = cut(sizes.join(langs.withColumnRenamed("lang", "lang2"), F.col("lang").eqNullSafe(F.col("lang2"))).select(F.col("lang").alias("lang2"), F.col("source").alias("source2"), grp.alias("grp")))
+    groups = small(sizes.join(langs.withColumnRenamed("lang", "lang2"), F.col("lang").eqNullSafe(F.col("lang2"))).select(F.col("lang").alias("lang2"), F.col("source").alias("source2"), grp.alias("grp")))
     same = F.col("lang").eqNullSafe(F.col("lang2")) & F.col("source").eqNullSafe(F.col("source2"))
     vectors = fit.join(groups, same).select("grp", *[c.alias(f"x{i}") for i, c in enumerate(transformed())])
     model = estimates(cut(vectors), share=share, steps=steps)
-    known = groups.join(model, "grp").drop("grp")
+    known = small(groups.join(model, "grp").drop("grp"))
     x = stats.select("*", *[c.alias(f"x{i}") for i, c in enumerate(transformed())]).join(known, same, "left")
     bad = F.lit(False)
     for i, side in enumerate(SIDES):
