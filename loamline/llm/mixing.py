@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.shared import cut
+from loamline.shared import cut, small
 
 SEED = "mix-1"
 
@@ -79,7 +79,7 @@ def exponent(shares: DataFrame, *, entropy: float | None, repeats: float | None,
     return max(found)
 
 
-def plan(docs: DataFrame, *, entropy: float | None = 0.5, repeats: float | None = 2.0, budget: float | None = None, cover: bool = False, block_tokens: int = 250_000, most_blocks: int = 10_000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, *, entropy: float | None = 0.5, repeats: float | None = 2.0, budget: float | None = None, cover: bool = False, block_tokens: int = 250_000, most_blocks: int = 10_000, most_broadcast: int = 200_000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """What is taken: rows ``source, block, pass, block_rank, rest`` of blocks, and each document's block, hash and tokens.
 
     ``rest`` is null where a block is taken whole, else the tokens of it that are still wanted.
@@ -99,7 +99,7 @@ def plan(docs: DataFrame, *, entropy: float | None = 0.5, repeats: float | None
     blocks_of = F.least(F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)), F.lit(most_blocks)).cast("long")
     passes = F.when(F.col("tokens") > 0, F.floor(quota / F.col("tokens"))).otherwise(1 if cover else 0).cast("int")
     rest = F.when(F.col("tokens") > 0, quota - passes * F.col("tokens")).otherwise(0)
-    budgets = cut(sources.select("source", blocks_of.alias("blocks"), passes.alias("passes"), rest.alias("rest")))
+    budgets = small(sources.select("source", blocks_of.alias("blocks"), passes.alias("passes"), rest.alias("rest")), most_broadcast)
     placed = counted.join(budgets, F.col("s").eqNullSafe(F.col("source"))).withColumn("block", _number(F.col("_h")) % F.col("blocks"))
     blocks = placed.groupBy("source", "passes", "rest", "block").agg(F.sum("_n").alias("n"))
     each = cut(blocks).select("*", F.explode(F.expr("sequence(0, passes)")).alias("pass"))
@@ -116,19 +116,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     The tables by source and by block are broadcast if they have ``most_broadcast`` rows at most, else joined.
     """
     columns = docs.columns if columns is None else columns
-    taken, placed = plan(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    taken, placed = plan(docs, id_col=id_col, source_col=source_col, text_col=text_col, most_broadcast=most_broadcast, **options)
     ends = taken.filter("rest is not null").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest")  # one block of each source at most
     order = placed.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).groupBy("s", "rest", "_h").agg(F.sum("_n").alias("_n"))
     before = order.selectExpr("s", "_h", "rest", "sum(_n) over (partition by s order by _h rows between unbounded preceding and current row) - _n as before")
     last = before.filter("before < rest").groupBy("s").agg(F.max("_h").alias("_until"))  # the hash up to which the block is taken
     blocks = placed.groupBy("source").agg(F.max("blocks").alias("_blocks"))
     sized = blocks.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("_s"), "_blocks", "_until")
-    chosen = cut(taken.join(sized, F.col("source").eqNullSafe(F.col("_s"))).select("_s", F.col("block").alias("_b"), F.col("pass").alias("_pass"), F.col("block_rank").alias("_rank"), F.when(F.col("rest").isNotNull(), F.coalesce("_until", F.lit(""))).alias("_until")))
-    sized = cut(sized)
-    small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df
+    chosen = small(taken.join(sized, F.col("source").eqNullSafe(F.col("_s"))).select("_s", F.col("block").alias("_b"), F.col("pass").alias("_pass"), F.col("block_rank").alias("_rank"), F.when(F.col("rest").isNotNull(), F.coalesce("_until", F.lit(""))).alias("_until")), most_broadcast)
+    sized = small(sized, most_broadcast)
     keyed = docs.select(*{*columns, id_col, source_col}).withColumn("_h", _hash(F.col(source_col), F.col(id_col)))
-    keyed = keyed.join(small(sized.select(F.col("_s").alias("_of"), "_blocks")), F.col(source_col).eqNullSafe(F.col("_of"))).withColumn("_block", _number(F.col("_h")) % F.col("_blocks"))
-    met = keyed.join(small(chosen), F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_until").isNull() | (F.col("_h") <= F.col("_until"))))
+    keyed = keyed.join(sized.select(F.col("_s").alias("_of"), "_blocks"), F.col(source_col).eqNullSafe(F.col("_of"))).withColumn("_block", _number(F.col("_h")) % F.col("_blocks"))
+    met = keyed.join(chosen, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_until").isNull() | (F.col("_h") <= F.col("_until"))))
     return met.select(*columns, F.col("_pass").alias("pass"), F.col("_rank").alias("block_rank"))
 
 
