@@ -61,11 +61,11 @@ def ruled(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Co
 
 def _strength(spread: DataFrame, key: list[str], least_rho: float, most_rho: float) -> float:
     """The pooled prior strength of groups (n, x) around the raw shares of their parents (pn, px)."""
-    p = F.col("px") / F.col("pn")
+    p = F.try_divide("px", "pn")
     inside = spread.filter("n > 0 and px > 0 and px < pn").groupBy(*key).agg(
-        F.sum(F.col("n") * F.pow(F.col("x") / F.col("n") - p, 2) / (p * (1 - p))).alias("s"),
+        F.sum(F.try_divide(F.col("n") * F.pow(F.try_divide("x", "n") - p, 2), p * (1 - p))).alias("s"),
         (F.count("*") - 1).alias("df"),
-        (F.max("pn") - F.sum(F.col("n") * F.col("n")) / F.max("pn") - (F.count("*") - 1)).alias("room"),
+        (F.max("pn") - F.try_divide(F.sum(F.col("n") * F.col("n")), F.max("pn")) - (F.count("*") - 1)).alias("room"),
     )
     rho = inside.agg((F.sum("s") - F.sum("df")) / F.nullif(F.sum("room"), F.lit(0.0))).first()[0]
     rho = min(max(least_rho if rho is None else rho, least_rho), most_rho)
