@@ -52,7 +52,8 @@ def counts(texts: pa.Array) -> np.ndarray:
     one = c[c != 0] * np.uint64(0xC2B2AE3D)
     two = a[:-1] ^ (b[1:] + np.uint64(1))
     three = (a[:-2] ^ (b[1:-1] * np.uint64(31))) + c[2:] * np.uint64(0x27D4EB2F) + np.uint64(2)
-    same2, same3 = (text[:-1] == text[1:]) | (c[1:] == 0), (text[:-2] == text[2:]) & (c[1:-1] != 0)
+    same2 = (text[:-1] == text[1:]) | (c[1:] == 0)  # the gap in front of the next text also ends this one
+    same3 = (text[:-2] == text[1:-1]) & ((text[2:] == text[:-2]) | (c[2:] == 0)) & (c[1:-1] != 0)
     same2 &= (c[:-1] != 0) | (c[1:] != 0)
     grams = np.concatenate([one, two[same2], three[same3]])
     rows = np.concatenate([text[c != 0], text[:-1][same2], text[:-2][same3]])
