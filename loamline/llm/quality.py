@@ -110,8 +110,8 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np
     return {k: v + decay * w[k] * (k not in "bd") for k, v in grads.items()}
 
 
-def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, *, hidden: int = 24, gate: int = 12, epochs: int = 60, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> Model:
-    """Adam over shuffled batches of bags."""
+def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, *, hidden: int = 24, gate: int = 12, epochs: int = 60, least_steps: int = 1200, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> Model:
+    """Adam over shuffled batches of bags, for so many epochs and steps at least."""
     prior = float((y.sum() + 1) / (len(y) + 2))
     if len(np.unique(y)) < 2:
         return Model(np.zeros(FEATURES), np.ones(FEATURES), {}, prior)
@@ -121,6 +121,7 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, *, hidden: int = 24,
     draw = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
     w = {"W": draw(FEATURES, hidden), "b": np.zeros(hidden, np.float32), "V": draw(hidden, gate), "U": draw(hidden, gate), "w": draw(gate), "c": draw(hidden), "d": np.zeros(1, np.float32)}
     m, v, step = {k: np.zeros_like(p) for k, p in w.items()}, {k: np.zeros_like(p) for k, p in w.items()}, 0
+    epochs = max(epochs, -(-least_steps * batch // len(y)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
