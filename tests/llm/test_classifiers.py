@@ -39,12 +39,13 @@ def held_out_auc(rows, truth):
     return (pos[:, None] > neg[None]).mean() + 0.5 * (pos[:, None] == neg[None]).mean()
 
 
-def test_quality(more_documents, labels):
+def test_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in labels.collect()}
-    rows = quality.classify(more_documents, labels).collect()
+    rows = quality.classify(docs, labels).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in rows)
-    assert held_out_auc(rows, truth) > 0.95
-    assert np.mean([r.predicted for r in rows if truth.get(r.doc_id) == 1]) > 0.97
+    assert held_out_auc(rows, truth) > 0.98
+    assert np.mean([r.predicted for r in rows if truth.get(r.doc_id) == 1]) > 0.99
 
 
 def test_quality_odd(spark, odd, none, labels):
