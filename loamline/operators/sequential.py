@@ -128,7 +128,8 @@ def each_text(df: DataFrame, key: str, text: str, make: Callable[[object, str],
         for batch in batches:
             rows = [(k, i, *r) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, r in enumerate(make(k, t or ""))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], [key, "idx", *names])
+                keys, *rest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *map(pa.array, rest)], [key, "idx", *names])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, idx long, {fields}")
 

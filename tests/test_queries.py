@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 from loamline.plans import queries as own
-from loamline.plans import more_queries
+from loamline.plans import adapter_queries, more_queries
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**own.QUERIES, **more_queries.QUERIES}
-SQL = {**own.SQL, **more_queries.SQL}
+QUERIES = {**own.QUERIES, **more_queries.QUERIES, **adapter_queries.QUERIES}
+SQL = {**own.SQL, **more_queries.SQL, **adapter_queries.SQL}
 
 
 @pytest.fixture(scope="module")
