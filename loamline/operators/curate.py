@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import hashing as H
+from loamline.operators.running import running_sum
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -109,16 +110,14 @@ def proportional_cap(df: DataFrame, file: str, order: str, target: int, files: i
 
 def prefix_budget(df: DataFrame, by: list[str], order: list[str], length: str, target: int) -> DataFrame:
     """The smallest prefix of each group whose lengths reach ``target``, one row at least."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("_before", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(length)).withColumn("_k", F.row_number().over(w))
-    return out.filter((F.col("_before") < target) | (F.col("_k") == 1)).drop("_before", "_k")
+    out = running_sum(df, by, order, F.col(length), "_upto")
+    return out.filter(F.col("_upto") - F.col(length) < target).drop("_upto") if target > 0 else cap(df, by, [F.col(c) for c in order], 1)
 
 
 def budget_passes(df: DataFrame, by: list[str], order: list[str], length: str, target: int, repeat: int) -> DataFrame:
     """Rows of up to ``repeat`` passes, while the tokens before are at most ``target`` (overshoots by a row); ``pass``."""
     passes = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))).alias("pass"))
-    w = Window.partitionBy(*by).orderBy("pass", *order).rowsBetween(Window.unboundedPreceding, 0)
-    return passes.withColumn("_before", F.sum(length).over(w) - F.col(length)).filter(F.col("_before") <= target).drop("_before")
+    return running_sum(passes, by, ["pass", *order], F.col(length), "_upto").filter(F.col("_upto") - F.col(length) <= target).drop("_upto")
 
 
 def evenly_spaced(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
@@ -135,17 +134,16 @@ def cyclic(requests: DataFrame, index: str, seeds: DataFrame, position: str, n:
 
 
 def byte_shards(df: DataFrame, order: str, text: str, shards: int) -> DataFrame:
-    """Shard of each row by the bytes in front of it, ``shards`` at most; rows of equal text size spread evenly."""
+    """Shard of each row by the bytes in front of it, ``shards`` at most."""
     size = F.octet_length(text) + 1
-    total = df.agg(F.sum(size)).first()[0] or 1
-    share = max(1, total // shards)
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("shard", F.least(F.floor((F.sum(size).over(w) - size) / share), F.lit(shards - 1)).cast("int"))
+    share = max(1, (df.agg(F.sum(size)).first()[0] or 1) // shards)
+    out = running_sum(df.withColumn("_size", size), [], [order], F.col("_size"), "_upto")
+    return out.withColumn("shard", F.least(F.floor((F.col("_upto") - F.col("_size")) / share), F.lit(shards - 1)).cast("int")).drop("_upto", "_size")
 
 
 def row_shards(df: DataFrame, order: str, rows: int) -> DataFrame:
     """Consecutive blocks of ``rows`` rows."""
-    return df.withColumn("shard", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / rows).cast("int"))
+    return running_sum(df, [], [order], F.lit(1), "_k").withColumn("shard", F.floor((F.col("_k") - 1) / rows).cast("int")).drop("_k")
 
 
 def sample(df: DataFrame, rate: float, seed: int, *key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import hashing as H
 from loamline.functions import text as X
+from loamline.operators.running import running_sum
 
 
 def role_label(role: Column) -> Column:
@@ -107,5 +108,4 @@ def prefix_lm(instruction: Column, response: Column) -> dict[str, Column]:
 
 def offsets(df: DataFrame, by: list[str], order: list[str], length: str) -> DataFrame:
     """``start``: the summed lengths of the rows before, within ``by``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("start", F.sum(length).over(w) - F.col(length))
+    return running_sum(df, by, order, F.col(length), "start").withColumn("start", F.col("start") - F.col(length))
