@@ -49,7 +49,7 @@ _KEEP_BYTES = 64
 class PieceEncoder:
     """Encode texts with a tokenizer file; ``keep`` bounds the pieces remembered (two generations of so many)."""
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
