@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loamline.plans import queries as own
@@ -25,7 +26,7 @@ def db():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "None" if v is None or v != v else f"{v:.8g}" if isinstance(v, float) else str(v)
+    text = lambda v: "None" if pd.isna(v) else f"{v:.8g}" if isinstance(v, float) else str(v)
     return sorted(tuple(text(v) for v in r) for r in frame.astype(object).itertuples(index=False))
 
 
