@@ -9,7 +9,7 @@ intra-class correlation, kept within ``least_rho`` and ``most_rho``).  A host is
 Listed rules go first: a rule is host and path; it fits its host and all subdomains if the url's path starts with
 the rule's; the longest wins (ties: the first by text).
 
-What is shuffled are counts by host (combined before) and narrow rows joined by host, where a skewed side can be split.
+What is shuffled are counts by host (combined before); pages meet the blocked hosts alone, broadcast if there are 200,000 at most, else joined.
 
 Rules: a null url and one without ``://`` have empty host and path, and such pages are one host; null or missing outcomes leave the
 prior; with no outcomes at all nothing is blocked but by rules; repeated rows count each; an empty table gives no rows; other columns are ignored.
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.shared import cut
+from loamline.shared import cut, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which domains are registered; others have one label.
@@ -107,7 +107,7 @@ def thin_page(html: Column, least_words: int = 100) -> Column:
 def judge(pages: DataFrame, outcome: Column, rules: Sequence[Rule] = RULES, *, url_col: str = "url", id_col: str = "page_id", **chain) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of each page."""
     parsed = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), outcome.alias("bad"))
-    blocked = reputation(parsed, **chain).filter("blocked").select("host", "blocked")
+    blocked = small(reputation(parsed, **chain).filter("blocked").select("host", "blocked"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
     return parsed.drop("bad").join(blocked, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
