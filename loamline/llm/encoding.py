@@ -42,6 +42,8 @@ _ODD_REST = {
 }
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+#: Bytes of a text worked on at once.
+_LONG = 4_000_000
 #: Pieces longer than this aren't remembered.
 _KEEP_BYTES = 64
 
@@ -76,7 +78,7 @@ class PieceEncoder:
         """The library's ids of each text, little-endian unsigned 32-bit."""
         return [np.asarray(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids start (one more than there are texts)."""
         texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string())
         texts = texts.fill_null("")
@@ -90,6 +92,13 @@ class PieceEncoder:
         whole = np.ones(n, bool) if self.kind is None else _odd(raw, ends)
         if whole.all():
             return _joined(self.plain(texts.to_pylist()))
+        long = ~whole & (np.diff(ends) > _LONG)
+        if split and long.any():  # in parts, so that memory doesn't grow with the length of a text
+            ids = []
+            for i in range(n):
+                parts = _parts(raw[ends[i] : ends[i + 1]]) if long[i] else [texts[i : i + 1]]
+                ids.append(np.concatenate([self.encode(p, split=False)[0] for p in parts]))
+            return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         if not whole.any():
             return self._pieces(raw, ends)
         ids, starts = self._pieces(*_without(raw, ends, whole))
@@ -154,7 +163,7 @@ class PieceEncoder:
     def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """As ``plain``, with the pieces that allow it joined into one text; the sizes of the tokens must meet every seam."""
         gap = b"" if self.kind == "spaced" else b" "
-        join = [i for i, p in enumerate(pieces) if (p[:1] == b" " and p[1:2] > b" " if self.kind == "spaced" else p.isascii() or _settled(p.decode()))]
+        join = [i for i, p in enumerate(pieces) if (p[:1] == b" " and p[1:2] > b" " if self.kind == "spaced" else p.lower() == p if p.isascii() else _settled(p.decode()))]
         text = gap.join([pieces[i] for i in join])
         ids = np.asarray(self._bare.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
         seams = np.cumsum([len(pieces[i]) for i in join])
@@ -177,6 +186,24 @@ def _settled(piece: str) -> bool:
     return piece.islower() and piece.lower() == piece and unicodedata.is_normalized("NFC", piece)
 
 
+def _parts(raw: np.ndarray) -> Iterator[pa.Array]:
+    """A text in parts, cut in front of runs of white space."""
+    at = 0
+    while len(raw) - at > _LONG:
+        ahead = raw[at + _LONG - 1 :]
+        for step in range(0, len(ahead), 1 << 16):  # the next seam
+            space = _SPACE[ahead[step : step + (1 << 16) + 1]]
+            seams = np.flatnonzero(space[1:] & ~space[:-1])
+            if len(seams):
+                stop = at + _LONG + step + int(seams[0])
+                break
+        else:
+            break
+        yield pa.array([raw[at:stop].tobytes()], pa.large_binary()).cast(pa.large_string())
+        at = stop
+    yield pa.array([raw[at:].tobytes()], pa.large_binary()).cast(pa.large_string())
+
+
 def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
 
