@@ -27,6 +27,7 @@ from loamline.llm.words import fold_of, keep_where
 
 DIM = 4096
 _ROWS = 256
+LONG_CHARS = 1_000_000
 _tables: list[np.ndarray] = []
 
 
@@ -42,6 +43,12 @@ def _letters() -> np.ndarray:
 def counts(texts: pa.Array) -> np.ndarray:
     """n-gram counts, a row of ``DIM`` for each text; all zero without letters."""
     strings = ["" if t is None else t for t in texts.to_pylist()]
+    if max(map(len, strings), default=0) > LONG_CHARS:  # in parts; the n-grams across a seam are those at gaps
+        rows = []
+        for s in strings:
+            parts = [s[i : i + LONG_CHARS] for i in range(0, len(s), LONG_CHARS)] or [""]
+            rows.append(sum((counts(pa.array([p]))[0] for p in parts[1:]), counts(pa.array(parts[:1]))[0]))
+        return np.stack(rows)
     codes = [np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32) for s in strings]
     gap = np.zeros(1, np.uint32)
     flat = _letters()[np.concatenate([x for c in codes for x in (gap, c)] + [gap])]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.encoding import slices
-from loamline.llm.words import fold_of, keep_where, labelled_sample, raw_bytes, words_of
+from loamline.llm.words import _SPACE, LONG, fold_of, keep_where, labelled_sample, parts_of, raw_bytes, words_of
 
 PASSAGE = 64
 #: Kinds of bytes: lower, upper, digit, space, line end, stop or comma, ! or ?, bar, other symbols, brackets and quotes, other, beyond ASCII.
@@ -35,11 +35,39 @@ _KIND[list(b".,;:")], _KIND[list(b"!?")], _KIND[ord("|")], _KIND[list(b"#*$%&<>=
 _KIND[0x80:] = 11
 _LENGTHS = 9
 FEATURES = _KINDS + _LENGTHS + 5
+#: Bytes of a text worked on at once.
+_PART = LONG
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A row for each passage, and the passages before each text (one more than there are texts)."""
     raw, edge = raw_bytes(texts)
+    if len(edge) > 1 and np.diff(edge).max() > _PART:
+        rows = [_long_features(raw[a:b].tobytes()) for a, b in zip(edge, edge[1:])]
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return _features(raw, edge)
+
+
+def _long_features(text: bytes) -> np.ndarray:
+    """The passages of one text, from parts of whole passages."""
+    rows, held = [], b""
+    for part in parts_of(text, _PART // 4):
+        held += part
+        at = np.frombuffer(held, np.uint8)
+        dark = ~_SPACE[at]
+        words = np.flatnonzero(dark & np.concatenate([[True], ~dark[:-1]]))
+        if n := max(0, len(words) - 1) // PASSAGE * PASSAGE:
+            end = int(words[n])
+            rows.append(_features(at[:end], np.array([0, end]))[0])
+            held = held[end:]
+    if held or not rows:
+        rows.append(_features(np.frombuffer(held, np.uint8), np.array([0, len(held)]))[0])
+    out = np.concatenate(rows)
+    out[:, -1] = np.float32(min(len(out), 32) / 32)
+    return out
+
+
+def _features(raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     uniq, word, before, at = words_of(raw, edge)
     n_words = np.diff(before)
     n_passages = np.maximum(1, -(-n_words // PASSAGE))

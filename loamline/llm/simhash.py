@@ -31,29 +31,37 @@ from pyspark.sql import functions as F
 
 from loamline.llm.components import components
 from loamline.llm.encoding import slices
+from loamline.llm.words import LONG, parts_of
 from loamline.shared import cut
 
 #: Pairs of trie nodes with so many pairs of leaves at most are compared leaf by leaf.
 _LEAVES = 256
 #: Comparisons made at once.
 _AT_ONCE = 2_000_000
+#: Bytes of a text worked on at once.
+_PART = LONG
 
 
 def fingerprint(text: bytes | None) -> int:
     """The unsigned fingerprint of a UTF-8 text."""
     import xxhash
 
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    digest = xxhash.xxh64_digest
-    ones, n = np.zeros(64, np.int64), max(1, len(words) - 2)
-    for at in range(0, n, 1 << 16):
-        part = words[at : at + (1 << 16) + 2]
-        shingles = map(b" ".join, zip(part, part[1:], part[2:])) if len(words) >= 3 else [b" ".join(words)]
+    digest, ones, n, carried = xxhash.xxh64_digest, np.zeros(64, np.int64), 0, []
+
+    def count(shingles: Iterator[bytes]) -> int:
         bits = np.frombuffer(b"".join([digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(bits, axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        np.add(ones, np.unpackbits(bits, axis=1).sum(0, dtype=np.int64), out=ones)
+        return len(bits)
+
+    for part in parts_of(text or b"", _PART):
+        words = carried + part.lower().split()
+        for at in range(0, len(words) - 2, 1 << 16):
+            some = words[at : at + (1 << 16) + 2]
+            n += count(map(b" ".join, zip(some, some[1:], some[2:])))
+        carried = words[-2:]
+    if not n and carried:
+        n = count(iter([b" ".join(carried)]))
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,11 +21,12 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.encoding import slices
-from loamline.llm.words import fold_of, labelled_sample, raw_bytes, words_of
+from loamline.llm.words import LONG, fold_of, labelled_sample, parts_of, raw_bytes, words_of
 
 #: Neutral names of groups, a list for each kind; a term is swapped within its list.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -40,6 +41,8 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("femmes", "hommes", "musulmans", "chrétiens", "juifs"),
     ("mujeres", "hombres", "musulmanes", "cristianos", "judíos"),
 )
+#: Bytes of a text worked on at once.
+_PART = LONG
 #: Marks the feature that another was met again.
 AGAIN = "+"
 
@@ -60,26 +63,42 @@ class Model:
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        uniq, word, before, _ = words_of(*raw_bytes(texts))
         if not hasattr(self, "_slot"):
             names = sorted({f.removesuffix(AGAIN) for f in self.weights})
             self._slot = {f: i for i, f in enumerate(names)}
             self._once = np.array([self.weights.get(f, 0.0) for f in names])
             self._twice = np.array([self.weights.get(f + AGAIN, 0.0) for f in names])
-        found = [[self._slot[f] for f in features_of(w) if f in self._slot] for w in uniq]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        total = np.full(len(before) - 1, self.bias)
-        if n.any():
-            flat, start = np.array([s for f in found for s in f], np.int64), np.cumsum(n) - n
-            hit = np.flatnonzero(n[word])
-            text = np.searchsorted(before, hit, side="right") - 1
-            each = n[word[hit]]
-            slot = flat[np.repeat(start[word[hit]] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
-            pair, times = np.unique(np.repeat(text, each) * len(self._slot) + slot, return_counts=True)
+        sizes = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+        if len(sizes) and sizes.max() > _PART:  # long texts in parts
+            met = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i, t in enumerate(texts.cast(pa.large_binary()).to_pylist()):
+                for part in parts_of(t or b"", _PART):
+                    pair, times = self._met(pa.array([part], pa.large_binary()).cast(pa.large_string()))
+                    met.append((i * len(self._slot) + pair, times))
+            pair, which = np.unique(np.concatenate([m[0] for m in met]), return_inverse=True)
+            times = np.bincount(which, np.concatenate([m[1] for m in met]), minlength=len(pair))
+        else:
+            pair, times = self._met(texts)
+        total = np.full(len(texts), self.bias)
+        if len(pair):
             at, slot = pair // len(self._slot), pair % len(self._slot)
             total += np.bincount(at, self._once[slot] + self._twice[slot] * (times > 1), minlength=len(total))
         return _sigmoid(total)
 
+    def _met(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The learned features that each text has, as text times features plus feature, and how often."""
+        uniq, word, before, _ = words_of(*raw_bytes(texts))
+        found = [[self._slot[f] for f in features_of(w) if f in self._slot] for w in uniq]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        if not n.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flat, start = np.array([s for f in found for s in f], np.int64), np.cumsum(n) - n
+        hit = np.flatnonzero(n[word])
+        text = np.searchsorted(before, hit, side="right") - 1
+        each = n[word[hit]]
+        slot = flat[np.repeat(start[word[hit]] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        return np.unique(np.repeat(text, each) * len(self._slot) + slot, return_counts=True)
+
 
 class _Sparse:
     """Rows of distinct columns with value one."""

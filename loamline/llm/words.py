@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Longer texts are worked on in parts, so that memory doesn't grow with the length of a text.
+LONG = 4_000_000
+_CUT = re.compile(rb"(?<=[^ \t\n\x0b\f\r])[ \t\n\x0b\f\r]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -36,6 +40,15 @@ def words_of(raw: np.ndarray, edge: np.ndarray) -> tuple[list[bytes], np.ndarray
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(at, edge), at
 
 
+def parts_of(text: bytes, size: int = LONG) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut in front of runs of white space; a run without white space stays whole."""
+    at = 0
+    while len(text) - at > size and (m := _CUT.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fold: F.Column, bound: int, *, good: str = "min", seed: int = 7, most_chars: int = 200_000) -> DataFrame:
     """``text, label`` of at most ``bound`` labelled documents for which ``fold`` (of ``doc_id``) holds.
 
