@@ -95,9 +95,10 @@ def majority(df: DataFrame, by: list[str], vote: str, pos: str) -> DataFrame:
     return counts.groupBy(*by).agg(F.max_by(vote, F.struct(F.col("n"), (-F.col("_first")).alias("f"))).alias("majority"), F.max("n").alias("votes"))
 
 
-def normalised(metric: Column, value: Column) -> Column:
-    """To 0..1: percentages over 100, negatives 0, above 100 none."""
-    return F.when((value > 100), None).when(value < 0, 0.0).when((value > 1) | metric.startswith("euroeval/"), value / 100).otherwise(value)
+def normalised(metric: Column, value: Column, percent: str | None = None) -> Column:
+    """To 0..1: values over 1 and those under the prefix ``percent`` are percentages, negatives 0, above 100 none."""
+    share = (value > 1) | metric.startswith(percent) if percent else value > 1
+    return F.when(value > 100, None).when(value < 0, 0.0).when(share, value / 100).otherwise(value)
 
 
 def section_averages(df: DataFrame, by: list[str], section: str, value: str, expected: int | None = None) -> DataFrame:
