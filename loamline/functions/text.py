@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ SPACES = r"(?U)\s+"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once for each row, also where inner functions use it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -53,8 +60,8 @@ def words(c: Column) -> Column:
 
 def ngrams(w: Column, n: int) -> Column:
     """Distinct n-grams of a word array, space-joined; none of a shorter array."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    grams = lambda a: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.array_join(F.slice(a, i, n), " ")))
+    return let(w, lambda a: F.when(F.size(a) >= n, grams(a)).otherwise(F.array().cast("array<string>")))
 
 
 def sentences(c: Column) -> Column:

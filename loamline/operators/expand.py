@@ -46,8 +46,8 @@ def both_ways(df: DataFrame, a: str, b: str, a_name: str, b_name: str) -> DataFr
 
 def chunks(df: DataFrame, text: str, width: int) -> DataFrame:
     """Slices of ``width`` characters of the stripped text, each stripped, empty ones left out; ``chunk_idx, chunk``."""
-    body = X.strip(F.coalesce(F.col(text), F.lit("")))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.length(body) - 1, F.lit(0)), F.lit(width)), lambda i: X.strip(F.substring(body, i + 1, F.lit(width))))
+    cut = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(width)), lambda i: X.strip(F.substring(t, i + 1, F.lit(width))))
+    parts = X.let(X.strip(F.coalesce(F.col(text), F.lit(""))), cut)
     return df.select("*", F.posexplode(parts).alias("chunk_idx", "chunk")).filter("chunk <> ''")
 
 

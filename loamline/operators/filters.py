@@ -59,13 +59,13 @@ def heuristics(instruction: Column, response: Column) -> dict[str, Column]:
     """The flags of an audit of a prompt and its answer."""
     both = F.concat(instruction, response)
     segments = F.filter(F.transform(F.regexp_extract_all(instruction, F.lit(r"(?s)(?:^|\n)\[\d+\]\s*(.*?)(?=\n\[\d+\]\s*|\z)"), 1), lambda s: X.clean_line(s, 700)), lambda s: s != "")
-    flat = F.lower(X.clean_line(response))
+    present = lambda flat: F.size(F.filter(segments, lambda s: F.contains(flat, F.lower(F.substring(s, 1, 80)))))
     return {
         "instruction_chars": F.length(instruction),
         "response_chars": F.length(response),
         "response_nonempty": F.length(response) > 0,
         "num_segments": F.size(segments),
-        "segments_present": F.size(F.filter(segments, lambda s: F.contains(flat, F.lower(F.substring(s, 1, 80))))),
+        "segments_present": X.let(F.lower(X.clean_line(response)), present),
         "word_overlap": F.round(word_overlap(instruction, response), 4),
         "contains_mask": F.contains(instruction, F.lit("<mask_")),
         "has_artifacts": reduce(lambda a, b: a | b, [F.contains(both, F.lit(m)) for m in ARTIFACTS]),
