@@ -141,7 +141,7 @@ def goldfish_mask(labels: np.ndarray, inputs: np.ndarray, starts: np.ndarray, k:
     value ^= value >> np.uint64(29)
     sequence = np.searchsorted(starts, np.arange(len(inputs)), side="right")
     mixed = np.zeros(len(inputs), np.uint64)
-    for back in range(width):
+    for back in range(min(width, len(inputs))):
         moved = np.concatenate([np.zeros(back, np.uint64), value[: len(value) - back]]) if back else value
         same = np.concatenate([np.full(back, -1), sequence[: len(sequence) - back]]) == sequence if back else np.ones(len(inputs), bool)
         mixed ^= np.where(same, moved * np.uint64(2 * back + 1), np.uint64(0))

@@ -80,12 +80,12 @@ def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-with h as (select doc_id, {_STRIP.format("substr(text, 1, 200)")} as head, substr(text, 201) || repeat('z', 500) as tail from documents where length(text) > 400)
+with h as (select doc_id, {_STRIP.format("substr(text, 1, 200)")} as head, {_STRIP.format("substr(text, 201)")} || repeat('z', 500) as tail from documents where length(text) > 400)
 select doc_id, 'direct' as condition, {_STRIP.format("'Summarise:' || chr(10) || chr(10) || tail")} as instruction, head as response from h where length(head) >= 120""")
 def abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The abstract of a paper, and the rest."""
     d = table(spark, sf_dir, "documents").filter(F.length("text") > 400)
-    head, tail = X.strip(F.substring("text", 1, 200)), F.concat(F.expr("substring(text, 201)"), F.lit("z" * 500))
+    head, tail = X.strip(F.substring("text", 1, 200)), F.concat(X.strip(F.expr("substring(text, 201)")), F.lit("z" * 500))
     d = d.select("doc_id", F.concat(F.lit("Title\nAbstract: "), head, F.lit("\n\n"), tail).alias("t"))
     return A.ADAPTERS["abstract"](d, "t", "doc_id")
 
