@@ -122,10 +122,12 @@ def train(bags: Sequence[Sequence[str]], y: np.ndarray, groups: Sequence[Sequenc
         return Model({}, float(np.log(prior / (1 - prior))))
     rng, list_of = np.random.default_rng(seed), {t: g for g in groups for t in g}
     known: dict[str, list[str]] = {}
+    index: dict[str, int] = {}  # of each feature
 
-    def expand(words: Iterable[str]) -> set[str]:
+    def expand(words: Iterable[str]) -> np.ndarray:
         times = Counter(f for w in words for f in (known[w] if w in known else known.setdefault(w, features_of(w.encode()))))
-        return {*times, *(f + AGAIN for f, n in times.items() if n > 1)}
+        names = sorted({*times, *(f + AGAIN for f, n in times.items() if n > 1)})
+        return np.fromiter((index.setdefault(f, len(index)) for f in names), np.int32, len(names))
 
     sets, pairs = [expand(b) for b in bags], []
     for i, bag in enumerate(bags):
@@ -133,14 +135,14 @@ def train(bags: Sequence[Sequence[str]], y: np.ndarray, groups: Sequence[Sequenc
         for _ in range(swaps if plain else 0):
             swap = {w: str(rng.choice([t for t in list_of[term] if t != term])) for term, w in plain.items()}
             pairs.append((i, expand(swap.get(w, w) for w in bag)))
-    seen: dict[str, int] = {}
-    for s in sets:
-        for f in s:
-            seen[f] = seen.get(f, 0) + 1
+    seen = np.bincount(np.concatenate([*sets, np.zeros(0, np.int32)]), minlength=len(index))
     named = {f for t in list_of for f in features_of(t.encode())}
-    column = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least or f in named))}
-    rows = lambda sets: _Sparse([np.fromiter((column[f] for f in s if f in column), np.int64) for s in sets], len(column))
+    column = {f: i for i, f in enumerate(sorted(f for f, k in index.items() if seen[k] >= least or (f in named and seen[k])))}
+    place = np.full(len(index), -1)
+    place[[index[f] for f in column]] = np.arange(len(column))
+    rows = lambda sets: _Sparse([np.sort(c[c >= 0]) for c in (place[s] for s in sets)], len(column))
     x, other, of = rows(sets), rows([s for _, s in pairs]), np.array([i for i, _ in pairs], np.int64)
+    known.clear()
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
