@@ -199,13 +199,15 @@ def near_duplicates(docs: DataFrame, *, large: int = 4096, id_col: str = "doc_id
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, large: int = 4096, most_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, large: int = 4096, most_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """One document of each component, that with the least id; all columns as they are.
 
+    Components are those of ``near_duplicates``, or of ``found`` (``doc_id, component_id``).
     Documents without an id stay.  Rows with the same id are one document, of which the row with the least text stays.
     The ids to drop are broadcast if there are ``most_broadcast`` at most, else joined.
     """
-    found = cut(near_duplicates(docs, large=large, id_col=id_col, text_col=text_col).filter("doc_id is not null"))
+    found = near_duplicates(docs, large=large, id_col=id_col, text_col=text_col) if found is None else found
+    found = cut(found.filter("doc_id is not null"))
     drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again"))
     n_drop, n_again = drop.count(), again.count()
