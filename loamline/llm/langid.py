@@ -4,8 +4,11 @@ Text is lower-cased and each run of other than letters becomes one gap; runs of
 characters (gaps included) are hashed into ``DIM`` counters.  A vector is ``log(1 + count) * idf``, scaled to length one;
 idf counts over all learning documents.  Each language has several centroids: spherical k-means over a bounded sample of
 its documents (``per_language``, by a seeded hash of the id).  A text gets the language of the centroid of
-greatest cosine.  ``rejected`` marks texts farther from their centroid than learning documents are: cosine under
-``slack`` times the cluster's lowest percentile.
+greatest cosine.  Seeds are taken from the nine tenths of a sample that are nearest to its mean, lest outliers take clusters.
+``rejected`` marks texts farther from their centroid than learning documents of that language and length are: cosine under
+``slack`` times the lowest percentile.  Short texts have lower cosines, so the percentile is taken of beginnings of
+``CUTS`` characters, by their n-grams, and read between these; learning texts that are five deviations (of the
+median) under their language's median are left out of it.
 
 Rules: null texts and texts without letters are ``und``, score 0, rejected; rows with a null language, id or text aren't learned
 from; without any learning rows all texts are ``und``; ties go to the first language by name; repeated rows are
@@ -28,6 +31,8 @@ from loamline.llm.words import fold_of, keep_where
 DIM = 4096
 _ROWS = 256
 LONG_CHARS = 1_000_000
+#: Characters of the beginnings that floors are learned from, besides whole texts.
+CUTS = (4, 8, 16, 32, 64, 128, 256, 512, 1024)
 _tables: list[np.ndarray] = []
 
 
@@ -74,9 +79,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def vectors(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF vectors, and which texts have letters."""
+    """Unit TF-IDF vectors, and how many n-grams each text has (none without letters)."""
     n = counts(texts)
-    return _unit(np.log1p(n) * idf), n.any(1)
+    return _unit(np.log1p(n) * idf), n.sum(1)
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -89,34 +94,66 @@ class Model:
     idf: np.ndarray
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    floors: np.ndarray
+    grams: np.ndarray  # of each centroid, ascending
+    floors: np.ndarray  # of each centroid, at these numbers of n-grams
+
+    def floor(self, best: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The least cosine of texts with so many n-grams to be in the language of their best centroid."""
+        out = np.zeros(len(best))
+        for i in np.unique(best[best >= 0]):
+            out[best == i] = np.interp(np.log1p(grams[best == i]), np.log1p(self.grams[i]), self.floors[i])
+        return out
 
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The best centroid of each text (-1: none), its cosine, and whether the text is rejected."""
-        best, cosine = np.full(len(texts), -1), np.zeros(len(texts))
+        best, cosine, floor = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
         for lo, hi in _parts(texts) if self.languages else ():
-            x, ok = vectors(texts[lo:hi], self.idf)
+            x, n = vectors(texts[lo:hi], self.idf)
             near = x @ self.centroids.T
-            best[lo:hi] = np.where(ok, near.argmax(1), -1)
-            cosine[lo:hi] = np.where(ok, near.max(1), 0)
-        return best, np.clip(cosine, 0, 1), (best < 0) | (cosine < (self.floors[best] if self.languages else 0))
+            best[lo:hi] = np.where(n > 0, near.argmax(1), -1)
+            cosine[lo:hi] = np.where(n > 0, near.max(1), 0)
+            floor[lo:hi] = self.floor(best[lo:hi], n)
+        return best, np.clip(cosine, 0, 1), (best < 0) | (cosine < floor)
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-point seeds; centroids and members' cosines to their own."""
-    seeds = [int(np.argmax(x @ _unit(x.mean(0, keepdims=True))[0]))]
-    near = x @ x[seeds[0]]
-    while len(seeds) < min(k, len(x)):
+    """Spherical k-means from farthest-point seeds, the tenth farthest from the mean left out; centroids and each member's own."""
+    central = x @ _unit(x.mean(0, keepdims=True))[0]
+    inner = x[central >= np.quantile(central, 0.1)]
+    seeds = [int(np.argmax(central[central >= np.quantile(central, 0.1)]))]
+    near = inner @ inner[seeds[0]]
+    while len(seeds) < min(k, len(inner)):
         seeds.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[seeds[-1]])
-    c = x[seeds]
+        near = np.maximum(near, inner @ inner[seeds[-1]])
+    c = inner[seeds]
     for _ in range(rounds):
         own = np.argmax(x @ c.T, axis=1)
         c = _unit(np.stack([x[own == i].mean(0) if (own == i).any() else c[i] for i in range(len(c))]))
     return c, np.argmax(x @ c.T, axis=1)
 
 
-def fit(docs: DataFrame, *, per_language: int = 400, clusters: int = 4, slack: float = 0.35, seed: int = 5) -> Model:
+def _floors(texts: pa.Array, idf: np.ndarray, c: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of the texts' beginnings (medians, ascending), and ``slack`` times the lowest percentile of their greatest cosines to ``c``."""
+    import pyarrow.compute as pc
+
+    def cosines(some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [((x @ c.T).max(1), n) for x, n in (vectors(some[lo:hi], idf) for lo, hi in _parts(some))]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    near, n = cosines(texts)
+    middle = np.median(near[n > 0])
+    typical = (n > 0) & (near >= middle - 5 * max(1.4826 * np.median(np.abs(near[n > 0] - middle)), 0.02))
+    told = [(np.median(n[typical]), np.quantile(near[typical], 0.01))]
+    for size in CUTS:
+        near, n = cosines(pc.utf8_slice_codeunits(texts.filter(pa.array(typical)), 0, size))
+        if n.any():
+            told.append((np.median(n[n > 0]), np.quantile(near[n > 0], 0.01)))
+    grams, floors = np.array(sorted(told)).T
+    short = len(CUTS) + 1 - len(grams)
+    return np.pad(grams, (short, 0), "edge"), slack * np.pad(floors, (short, 0), "edge")
+
+
+def fit(docs: DataFrame, *, per_language: int = 400, clusters: int = 4, slack: float = 0.85, seed: int = 5) -> Model:
     """Learn from ``doc_id, text, lang`` rows: idf from all of them, centroids from ``per_language`` of each language.
 
     What comes to the driver: ``DIM`` counts, and ``clusters`` vectors of ``DIM`` floats for each language.
@@ -142,17 +179,21 @@ def fit(docs: DataFrame, *, per_language: int = 400, clusters: int = 4, slack: f
     sample = rows.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # per_language ids for each language at most
 
     def centroids(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        texts = table.column("text").combine_chunks()
-        x = np.concatenate([v[ok] for v, ok in (vectors(texts[lo:hi], idf) for lo, hi in _parts(texts))])
+        texts = table.column("text").combine_chunks().cast(pa.string())
+        x = np.concatenate([v[n > 0] for v, n in (vectors(texts[lo:hi], idf) for lo, hi in _parts(texts))])
         found: list[tuple] = []
         if len(x):
             c, own = _cluster(x, clusters)
-            near = np.einsum("ij,ij->i", x, c[own])
-            found = [(c[i].astype("<f4").tobytes(), float(slack * np.quantile(near[own == i], 0.01))) for i in range(len(c)) if (own == i).any()]
-        return pa.table({"lang": pa.array([key[0].as_py()] * len(found), pa.string()), "centroid": pa.array([f[0] for f in found], pa.binary()), "floor": pa.array([f[1] for f in found], pa.float64())})
-
-    learned = sorted(sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, floor double").collect(), key=lambda r: (r[0], bytes(r[1])))
-    return Model(idf, [r[0] for r in learned], np.array([np.frombuffer(r[1], "<f4") for r in learned]).reshape(-1, DIM), np.array([r[2] for r in learned]))
+            c = c[[i for i in range(len(c)) if (own == i).any()]]
+            grams, floors = _floors(texts, idf, c, slack)
+            found = [(v.astype("<f4").tobytes(), grams.tolist(), floors.tolist()) for v in c]
+        types = {"centroid": pa.binary(), "grams": pa.list_(pa.float64()), "floors": pa.list_(pa.float64())}
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(found), pa.string())} | {k: pa.array([f[i] for f in found], t) for i, (k, t) in enumerate(types.items())})
+
+    learned = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, grams array<double>, floors array<double>").collect()
+    learned = sorted(learned, key=lambda r: (r[0], bytes(r[1])))
+    tables = [np.array([r[i] for r in learned], float).reshape(-1, len(CUTS) + 1) for i in (2, 3)]
+    return Model(idf, [r[0] for r in learned], np.array([np.frombuffer(r[1], "<f4") for r in learned]).reshape(-1, DIM), *tables)
 
 
 def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

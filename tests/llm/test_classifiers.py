@@ -28,6 +28,37 @@ def test_language_odd(odd, none):
     assert all(r.lang_pred == "und" for r in langid.identify(odd.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect())
 
 
+FOREIGN = [
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita",
+    "Wszyscy ludzie rodza sie wolni i rowni w swojej godnosci i prawach, sa oni obdarzeni rozumem",
+    "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu",
+    "Butun insanlar hur, haysiyet ve haklar bakimindan esit dogarlar, akil ve vicdana sahiptirler",
+    "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa, wote wamejaliwa akili na dhamiri",
+    "Minden emberi leny szabadon szuletik es egyenlo meltosaga es joga van",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах",
+]
+
+
+def test_unlearned_languages_are_rejected(more_documents):
+    model = langid.fit(more_documents.filter("crc32(cast(doc_id as string)) % 4 <> 2"))
+    for size in (64, 1000):
+        assert model.judge(pa.array([t[:size] for t in FOREIGN]))[2].all()
+    held = [r.text for r in more_documents.filter("crc32(cast(doc_id as string)) % 4 = 2").collect()]
+    for size in (32, 100, 10**6):
+        assert model.judge(pa.array([t[:size] for t in held]))[2].mean() < 0.06
+
+
+def test_few_outliers_take_no_clusters():
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(0, 0.1, (203, 40))).astype("float32")
+    for i in range(200):
+        x[i, i % 4 * 5] += 1
+    for i in range(200, 203):
+        x[i, 30 + i - 200] += 5
+    c, own = langid._cluster(langid._unit(x), 4)
+    assert np.bincount(own, minlength=4).min() >= 45
+
+
 def test_language_counts():
     n = langid.counts(pa.array(["ab", "Ab!! ", None, "", "12 34", "x" * 5000]))
     assert (n[0] == n[1]).all() and not n[2:5].any() and n[5].sum() > 10_000
