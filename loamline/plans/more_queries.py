@@ -34,13 +34,13 @@ def query(sql: str | None = None):
 
 @query()
 def boundary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut at sentences."""
+    """Texts cut at sentences."""
     return S.boundary_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 1500)
 
 
 @query()
 def denoising_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Denoising and span-filling tasks."""
+    """Denoising and span-filling tasks."""
     return S.text_tasks(table(spark, sf_dir, "documents"), "doc_id", "text", 3000)
 
 

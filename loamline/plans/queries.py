@@ -368,7 +368,7 @@ def prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 with o as (select unnest(['src9', 'src3', 'src0']) as source, unnest([0, 1, 2]) as pos)
 select doc_id, source, cast(pos as bigint) as pos from documents left join o using (source)""")
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place that an external list gives a row."""
+    """The place that an external list gives a row."""
     order = spark.createDataFrame([("src9", 0), ("src3", 1), ("src0", 2)], "source string, pos long")
     return C.reorder(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", order)
 
@@ -432,7 +432,7 @@ def category_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as k from documents) where k <= 10 order by source, doc_id limit 120")
 def proportional_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A target dealt over files."""
+    """A target dealt over files."""
     return C.proportional_cap(table(spark, sf_dir, "documents"), "source", "doc_id", 120, 12).select("source", "doc_id")
 
 

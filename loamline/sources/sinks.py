@@ -48,9 +48,12 @@ def checksums(spark, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.size(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x) != "")).alias("rows"))
 
 
-def report(df: DataFrame, title: str, missing: str = "—") -> str:
-    """A Markdown table of a small result."""
-    rows = [[missing if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(1000).collect()]
+def report(df: DataFrame, title: str, missing: str = "—", most: int = 1000) -> str:
+    """A Markdown table of a small result; one of more than ``most`` rows is an error."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report holds {most} rows at most, and {title!r} has more")
+    rows = [[missing if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in found]
     lines = [df.columns, ["---"] * len(df.columns), *rows]
     return f"## {title}\n\n" + "\n".join("| " + " | ".join(r) + " |" for r in lines) + "\n"
 

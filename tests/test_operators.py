@@ -335,3 +335,9 @@ def test_running_sums_of_a_hot_group(spark):
     total = 0
     assert [u for _, u in sorted(values(running_sum(df, [], ["id"], F.col("n")), "id", "upto"))] == [total := total + i % 11 for i in range(3000)]
     assert running_sum(df.filter("id < 0"), ["g"], ["id"], F.col("n")).count() == 0
+
+
+def test_report_leaves_nothing_out(spark):
+    assert sinks.report(spark.range(1000), "T").count("\n| ") == 1002
+    with pytest.raises(ValueError):
+        sinks.report(spark.range(1001), "T")
