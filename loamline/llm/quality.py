@@ -1,20 +1,23 @@
 """Document quality by attention-based multiple-instance learning (op 4).
 
 A document is a bag of passages of ``PASSAGE`` words.  Each passage is encoded: proportions of kinds of characters and of
-word lengths, repetition within the passage, and its place in the whole (``features``), through a learned layer
+word lengths, repetition within the passage, its place in the whole, and its wording (``features``: shares of ``_WORDING`` hashed word classes, a
+word's class by its lower-cased letters), through a learned layer
 ``h = tanh(W x + b)``.  Gated attention, learned from document labels alone, weighs the passages,
 ``a ~ exp(w (tanh(V h) * sigmoid(U h)))``, and the weighted sum of the ``h`` is scored by a logistic unit.
 
-Learning takes at most ``bound`` labelled documents (by a seeded hash of the id), and of each at most ``most_passages``
-passages, evenly spaced; scoring takes every passage of every text.
+Learning takes at most ``bound`` labelled documents (by a seeded hash of the id), each with every passage, until there are
+``most_passages``; scoring takes every passage of every text.
 
-Rules: null and empty texts are one empty passage and get a score; repeated rows score alike; with labels of one kind only the
+Rules: null and empty texts are one empty passage and get a score; a very long text is encoded in parts of whole passages; repeated rows score alike, and
+one row of an id at most is learned from; with labels of one kind only the
 score is the smoothed share of that kind; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.encoding import slices
-from loamline.llm.words import _SPACE, LONG, fold_of, keep_where, labelled_sample, parts_of, raw_bytes, words_of
+from loamline.llm.words import _SPACE, LONG, fold_of, keep_where, labelled_sample, one_of_each, parts_of, raw_bytes, words_of
 
 PASSAGE = 64
 #: Kinds of bytes: lower, upper, digit, space, line end, stop or comma, ! or ?, bar, other symbols, brackets and quotes, other, beyond ASCII.
@@ -34,9 +37,11 @@ _KIND[[0x20, 0x09, 0x0B, 0x0C, 0x0D]], _KIND[0x0A] = 3, 4
 _KIND[list(b".,;:")], _KIND[list(b"!?")], _KIND[ord("|")], _KIND[list(b"#*$%&<>=_~^\\/@+")], _KIND[list(b"()[]{}\"'`-")] = 5, 6, 7, 8, 9
 _KIND[0x80:] = 11
 _LENGTHS = 9
-FEATURES = _KINDS + _LENGTHS + 5
-#: Bytes of a text worked on at once.
-_PART = LONG
+_WORDING = 64
+_PLACE = _KINDS + _LENGTHS + 4
+FEATURES = _PLACE + 1 + _WORDING
+#: Bytes of texts, and of a single text, that are worked on at once.
+_BYTES, _PART = 500_000, LONG
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +68,7 @@ def _long_features(text: bytes) -> np.ndarray:
     if held or not rows:
         rows.append(_features(np.frombuffer(held, np.uint8), np.array([0, len(held)]))[0])
     out = np.concatenate(rows)
-    out[:, -1] = np.float32(min(len(out), 32) / 32)
+    out[:, _PLACE] = np.float32(min(len(out), 32) / 32)
     return out
 
 
@@ -85,6 +90,8 @@ def _features(raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray
     size = np.fromiter(map(len, uniq), np.int64, len(uniq))[word] if len(word) else np.zeros(0, np.int64)
     bins = np.minimum(size - 1, 15) * (_LENGTHS - 1) // 15
     lengths = np.bincount(passage * _LENGTHS + bins, minlength=total * _LENGTHS).reshape(total, _LENGTHS)
+    coded = np.fromiter((zlib.crc32(w.lower()) % _WORDING for w in uniq), np.int64, len(uniq))[word] if len(word) else word
+    wording = np.bincount(passage * _WORDING + coded, minlength=total * _WORDING).reshape(total, _WORDING)
     n = np.bincount(passage, minlength=total)
     pair = np.unique(passage * (len(uniq) + 1) + word) // (len(uniq) + 1)
     distinct = np.bincount(pair, minlength=total)
@@ -93,7 +100,7 @@ def _features(raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray
     some, many = np.maximum(n, 1)[:, None], np.maximum(kinds.sum(1), 1)[:, None]
     where = np.repeat(np.minimum(n_passages, 32) / 32, n_passages)
     rest = np.stack([distinct / some[:, 0], repeats / some[:, 0], np.bincount(passage, size, total) / some[:, 0] / 10, n / PASSAGE, where], axis=1)
-    return np.concatenate([kinds / many, lengths / some, rest], axis=1).astype(np.float32), first
+    return np.concatenate([kinds / many, lengths / some, rest, np.sqrt(wording / some)], axis=1).astype(np.float32), first
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -165,26 +172,25 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, *, hidden: int = 24,
     return Model(mean, scale, w, prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: F.Column, *, bound: int = 3000, most_passages: int = 64) -> Model:
-    """Learn from labelled documents for which ``fold`` (of ``doc_id``) holds; their passage features come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, fold: F.Column, *, bound: int = 3000, most_passages: int = 200_000) -> Model:
+    """Learn from labelled documents for which ``fold`` (of ``doc_id``) holds; their passage features come to the driver.
+
+    Documents are taken whole: ``bound`` at most, and no further one once there are ``most_passages``.
+    """
     sample = labelled_sample(docs, labels, "quality", fold, bound)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = []
-            for lo, hi in slices(batch.column(0), 1_000_000):
-                x, first = features(batch.column(0)[lo:hi])
-                for a, b in zip(first, first[1:]):
-                    got.append(x[a:b][np.unique(np.linspace(0, b - a - 1, min(most_passages, b - a)).round().astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), batch.column(1).cast(pa.int32())], ["x", "label"])
-
-    table = sample.mapInArrow(bags, "x binary, label int").toArrow()
-    order = np.argsort(np.array([b[:256] for b in table.column("x").to_pylist()], object), kind="stable") if len(table) else np.zeros(0, int)
-    found = [table.column("x")[int(i)].as_py() for i in order]
-    x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found]
-    y = np.array(table.column("label").to_pylist(), float)[order] if len(table) else np.zeros(0)
+            for lo, hi in slices(batch.column(2), _BYTES):
+                x, first = features(batch.column(2)[lo:hi])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["doc_id", "label", "x"])
+
+    encoded = sample.mapInArrow(bags, "doc_id long, label int, x binary")
+    table = one_of_each(encoded, "x", F.length("x") / (4 * FEATURES), most_passages).select("x", "label").toArrow()
+    found = sorted(zip(table.column("x").to_pylist(), table.column("label").to_pylist()))  # in one order, however the rows were dealt
+    x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b, _ in found]
     first = np.concatenate([[0], np.cumsum([len(b) for b in x])]).astype(np.int64)
-    return train(np.concatenate(x) if x else np.zeros((0, FEATURES), np.float32), first, y)
+    return train(np.concatenate(x) if x else np.zeros((0, FEATURES), np.float32), first, np.array([y for _, y in found], float))
 
 
 def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -194,7 +200,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            parts = [told.value.score(*features(texts[lo:hi])) for lo, hi in slices(texts, 1_000_000)]
+            parts = [told.value.score(*features(texts[lo:hi])) for lo, hi in slices(texts, _BYTES)]
             got = np.concatenate(parts).astype(float) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got)], [*columns, "score"])
 
@@ -205,7 +211,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents that score ``threshold`` or more, all columns as they are."""
     told = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_where(docs, lambda texts: np.concatenate([np.zeros(0, bool), *(told.value.score(*features(texts[lo:hi])) >= threshold for lo, hi in slices(texts, 1_000_000))]), text_col)
+    return keep_where(docs, lambda texts: np.concatenate([np.zeros(0, bool), *(told.value.score(*features(texts[lo:hi])) >= threshold for lo, hi in slices(texts, _BYTES))]), text_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, parts: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:

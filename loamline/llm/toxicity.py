@@ -3,8 +3,8 @@
 A text is the set of its words, lower-cased and stripped of surrounding punctuation, and of their first four and five
 characters (which generalises over endings); a feature met twice or more is a second feature.  A logistic model scores the set.
 
-Learning takes at most ``bound`` labelled texts (by a seeded hash of the id).  Every one that names an identity group
-(``IDENTITY_TERMS``) is paired with counterfactuals in which the terms are swapped for others of
+Learning takes at most ``bound`` labelled texts (by a seeded hash of the id), whole ones, until their words have ``most_bytes``.  Every one that names an identity group
+(``IDENTITY_TERMS``) is paired with counterfactuals in which every form of the terms (with punctuation, or met again) is swapped for others of
 their list, and the squared change of the score is penalised (``pair_weight``), so that a mere mention moves no score.
 An L1 penalty picks few features (proximal gradient), then the kept ones are fitted again under a light L2.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.encoding import slices
-from loamline.llm.words import LONG, fold_of, labelled_sample, parts_of, raw_bytes, words_of
+from loamline.llm.words import LONG, fold_of, labelled_sample, one_of_each, parts_of, raw_bytes, words_of
 
 #: Neutral names of groups, a list for each kind; a term is swapped within its list.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -131,10 +131,10 @@ def train(bags: Sequence[Sequence[str]], y: np.ndarray, groups: Sequence[Sequenc
 
     sets, pairs = [expand(b) for b in bags], []
     for i, bag in enumerate(bags):
-        plain = {f[0]: w for w in bag if (f := known[w]) and f[0] in list_of}
-        for _ in range(swaps if plain else 0):
-            swap = {w: str(rng.choice([t for t in list_of[term] if t != term])) for term, w in plain.items()}
-            pairs.append((i, expand(swap.get(w, w) for w in bag)))
+        forms = {w: f[0] for w in bag if (f := known[w]) and f[0] in list_of}  # "women" and "women," are one term
+        for _ in range(swaps if forms else 0):
+            other_term = {t: str(rng.choice([o for o in list_of[t] if o != t])) for t in sorted(set(forms.values()))}
+            pairs.append((i, expand(w.lower().replace(forms[w], other_term[forms[w]]) if w in forms else w for w in bag)))
     seen = np.bincount(np.concatenate([*sets, np.zeros(0, np.int32)]), minlength=len(index))
     named = {f for t in list_of for f in features_of(t.encode())}
     column = {f: i for i, f in enumerate(sorted(f for f, k in index.items() if seen[k] >= least or (f in named and seen[k])))}
@@ -178,17 +178,22 @@ def train(bags: Sequence[Sequence[str]], y: np.ndarray, groups: Sequence[Sequenc
     return Model({f: float(w[i]) for f, i in column.items() if w[i]}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: F.Column, *, bound: int = 6000) -> Model:
-    """Learn from labelled documents for which ``fold`` (of ``doc_id``) holds; their words come to the driver, each twice at most."""
-    sample = labelled_sample(docs, labels, "toxic", fold, bound, good="max", most_chars=60_000)
+def fit(docs: DataFrame, labels: DataFrame, fold: F.Column, *, bound: int = 6000, most_bytes: int = 48_000_000) -> Model:
+    """Learn from labelled documents for which ``fold`` (of ``doc_id``) holds; their words come to the driver, each twice at most.
+
+    Documents are taken whole: ``bound`` at most, and no further one once their words have ``most_bytes``.
+    """
+    sample = labelled_sample(docs, labels, "toxic", fold, bound, good="max")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            times = (Counter((t or "").lower().encode().split()) for t in batch.column(0).to_pylist())
-            got = [b" ".join(w for w in sorted(c) for _ in range(min(2, c[w]))) for c in times]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), batch.column(1).cast(pa.int32())], ["words", "label"])
+            for lo, hi in slices(batch.column(2)):
+                times = (Counter(t.lower().encode().split()) for t in batch.column(2)[lo:hi].to_pylist())
+                got = [b" ".join(w for w in sorted(c) for _ in range(min(2, c[w]))) for c in times]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(got, pa.binary())], ["doc_id", "label", "words"])
 
-    table = sample.mapInArrow(bags, "words binary, label int").toArrow().sort_by([("words", "ascending"), ("label", "ascending")])
+    encoded = sample.mapInArrow(bags, "doc_id long, label int, words binary")
+    table = one_of_each(encoded, "words", F.length("words"), most_bytes).select("words", "label").toArrow().sort_by([("words", "ascending"), ("label", "ascending")])
     return train([b.decode("utf-8", "replace").split(" ") for b in table.column("words").to_pylist()], np.array(table.column("label").to_pylist(), float))
 
 

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.shared import cut
+
 #: Longer texts are worked on in parts, so that memory doesn't grow with the length of a text.
 LONG = 4_000_000
 _CUT = re.compile(rb"(?<=[^ \t\n\x0b\f\r])[ \t\n\x0b\f\r]")
@@ -49,18 +51,30 @@ def parts_of(text: bytes, size: int = LONG) -> Iterator[bytes]:
     yield text[at:]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fold: F.Column, bound: int, *, good: str = "min", seed: int = 7, most_chars: int = 200_000) -> DataFrame:
-    """``text, label`` of at most ``bound`` labelled documents for which ``fold`` (of ``doc_id``) holds.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fold: F.Column, bound: int, *, good: str = "min", seed: int = 7) -> DataFrame:
+    """``doc_id, label, text`` of ``bound`` labelled documents at most for which ``fold`` (of ``doc_id``) holds; texts are whole, null ones empty.
 
-    Taken by a seeded hash of the id; texts over ``most_chars`` characters are not learned from.
+    Taken by a seeded hash of the id, among ids that ``docs`` has; every row of an id taken is there (see ``one_of_each``).
     Repeated labels of a document count as their least (``good="min"``) or greatest.
     Only the ids and labels taken are broadcast, ``bound`` rows at most.
     """
     one = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & fold)
-    one = one.groupBy("doc_id").agg(getattr(F, good)(column).alias("label"))
-    taken = one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.filter(F.col("text").isNotNull() & (F.length("text") <= most_chars)).join(F.broadcast(taken), "doc_id").select("text", "label")
+    one = one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(getattr(F, good)(column).cast("int").alias("label"))
+    here = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    taken = one.join(here, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(taken), "doc_id").select("doc_id", "label", "text")
+
+
+def one_of_each(encoded: DataFrame, column: str, size: F.Column, most: int, seed: int = 7) -> DataFrame:
+    """Of rows ``doc_id, label`` and an encoded text, the least encoded text of each id: whole documents until ``most`` units of ``size`` are reached.
+
+    ``encoded`` has rows of a bounded number of ids, whose sizes meet in one window.
+    """
+    rows = cut(encoded.groupBy("doc_id", "label").agg(F.min(column).alias(column)))
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.select("doc_id", size.alias("size")).select("doc_id", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before.filter(F.col("before") < most).select("doc_id")), "doc_id")
 
 
 def fold_of(column: str, parts: int) -> F.Column:

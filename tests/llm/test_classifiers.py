@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from loamline.llm import langid, quality, toxicity
+from loamline.llm import langid, quality, toxicity, words
 
 
 def test_language(more_documents):
@@ -151,3 +155,116 @@ def test_toxicity_counts_once_or_again():
     logit = lambda p: np.log(p / (1 - p))
     got = logit(m.score(pa.array(["x", "Bad.", "bad BAD bad!", "worse worst", None, ""])))
     assert np.allclose(got, [-3, -1, 0, 1, -3, -3])
+
+
+def test_bound_holds_for_repeated_rows(spark):
+    """One labelled id repeated 5,000 times and ids without a document take no more than their place."""
+    docs = spark.createDataFrame([(1, f"again {i % 7}") for i in range(5000)] + [(i, f"text {i}") for i in range(2, 40)] + [(40, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 41)] + [(i, 1, 0) for i in range(1000, 1400)], "doc_id long, quality int, toxic int")
+    sample = words.labelled_sample(docs, labels, "quality", F.lit(True), 39)
+    assert len({r.doc_id for r in sample.collect()}) == 39
+    kept = words.one_of_each(sample, "text", F.lit(1), 10).collect()
+    assert len(kept) == 10 == len({r.doc_id for r in kept})
+    assert len(words.one_of_each(sample, "text", F.lit(1), 10**6).collect()) == 39
+    whole = words.one_of_each(words.labelled_sample(docs, labels, "quality", F.lit(True), 100), "text", F.length("text"), 10**6).collect()
+    assert {r.doc_id for r in whole} == set(range(1, 41)) and {r.text for r in whole if r.doc_id in (1, 40)} == {"again 0", ""}
+
+
+def _plain_passages(text):
+    """Feature rows of a text, one word at a time."""
+    tokens, word = [], ""
+    for c in text:  # words with what stands behind them; what stands in front of the first goes with it
+        space = c in " \t\n\x0b\f\r"
+        if not space and (not tokens or tokens[-1][1]):
+            tokens.append(["" if tokens else word, ""])
+        if tokens and not space:
+            tokens[-1][0] += c
+        elif tokens:
+            tokens[-1][1] += c
+        else:
+            word += c
+    if not tokens:
+        tokens = [["", text]]
+    rows, some = [], [tokens[i : i + quality.PASSAGE] for i in range(0, len(tokens), quality.PASSAGE)]
+    for p in some:
+        raw = "".join(a + b for a, b in p).encode()
+        kinds = [sum(int(quality._KIND[b]) == k for b in raw) / max(1, len(raw)) for k in range(quality._KINDS)]
+        ws = [a.lstrip(" \t\n\x0b\f\r").encode() for a, _ in p if a.strip(" \t\n\x0b\f\r")]
+        n = max(1, len(ws))
+        lengths = [sum(min(len(w) - 1, 15) * (quality._LENGTHS - 1) // 15 == k for w in ws) / n for k in range(quality._LENGTHS)]
+        wording = [(sum(zlib.crc32(w.lower()) % quality._WORDING == k for w in ws) / n) ** 0.5 for k in range(quality._WORDING)]
+        rows.append([*kinds, *lengths, len(set(ws)) / n, sum(a == b for a, b in zip(ws, ws[1:])) / n, sum(map(len, ws)) / n / 10, len(ws) / quality.PASSAGE, min(len(some), 32) / 32, *wording])
+    return rows
+
+
+def test_quality_against_plain_loops(documents):
+    """Features, attention and score, a passage at a time."""
+    rng = np.random.default_rng(2)
+    w = {"W": rng.normal(size=(quality.FEATURES, 5)) * 0.3, "b": rng.normal(size=5), "V": rng.normal(size=(5, 3)), "U": rng.normal(size=(5, 3)), "w": rng.normal(size=3), "c": rng.normal(size=5), "d": np.array([0.2])}
+    model = quality.Model(rng.normal(size=quality.FEATURES), rng.random(quality.FEATURES) + 0.5, w, 0.5)
+    texts = [r.text for r in documents.orderBy("doc_id").limit(40).collect()] + ["", None, " \n", "  one  two ", "x" * 50]
+    got = model.score(*quality.features(pa.array(texts)))
+    for text, s in zip(texts, got):
+        hs, es = [], []
+        for x in _plain_passages(text or ""):
+            x = [(a - m) / sd for a, m, sd in zip(x, model.mean, model.scale)]
+            h = [math.tanh(sum(x[i] * w["W"][i, j] for i in range(len(x))) + w["b"][j]) for j in range(5)]
+            t = [math.tanh(sum(h[j] * w["V"][j, k] for j in range(5))) for k in range(3)]
+            g = [1 / (1 + math.exp(-sum(h[j] * w["U"][j, k] for j in range(5)))) for k in range(3)]
+            hs.append(h)
+            es.append(sum(t[k] * g[k] * w["w"][k] for k in range(3)))
+        total = sum(math.exp(e) for e in es)
+        z = [sum(math.exp(e) / total * h[j] for e, h in zip(es, hs)) for j in range(5)]
+        assert abs(1 / (1 + math.exp(-(sum(z[j] * w["c"][j] for j in range(5)) + 0.2))) - s) < 1e-4
+
+
+def test_language_against_plain_counting(documents):
+    """TF-IDF, cosine and the nearest centroid with dictionaries, a text at a time."""
+    docs = documents.orderBy("doc_id").limit(60)
+    model = langid.fit(docs, per_language=20, clusters=2)
+    rows = docs.collect()
+    texts = [r.text for r in rows] + ["", None, "12 !!", "ab", "A-b c"]
+
+    def grams(text):
+        s = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+        found = Counter()
+        padded = " " + " ".join(s.split()) + " "
+        for i in range(len(padded)):
+            for n in (1, 2, 3):
+                g = padded[i : i + n]
+                if len(g) == n and g.strip() and not (n == 3 and g[1] == " "):
+                    found[g] += 1
+        return found
+
+    want = langid.counts(pa.array(texts))
+    assert [sum(grams(t).values()) for t in texts] == want.sum(1).tolist()
+    n_docs = len([r for r in rows if r.text is not None])
+    idf = [math.log((1 + n_docs) / (1 + sum(bool(want[i][k]) for i in range(len(rows))))) + 1 for k in range(langid.DIM)]
+    assert np.allclose(idf, model.idf)
+    best, cosine, _ = model.judge(pa.array(texts))
+    for i in range(len(texts)):
+        v = {k: math.log1p(int(c)) * idf[k] for k, c in enumerate(want[i]) if c}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        all_ = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in model.centroids] if v else []
+        assert (best[i] == -1) == (not v) and (not v or abs(max(all_) - cosine[i]) < 1e-4 and all_[best[i]] > max(all_) - 1e-5)
+
+
+def test_toxicity_against_a_plain_sum(documents):
+    rng = np.random.default_rng(6)
+    texts = [r.text for r in documents.orderBy("doc_id").limit(60).collect()] + ["", None, "!!", "and and"]
+    some = sorted({f for t in texts[:30] for w in t.split() for f in toxicity.features_of(w.encode())})[::3]
+    m = toxicity.Model({f + end: float(rng.normal()) * 0.1 for f in some for end in ("", toxicity.AGAIN)}, -0.5)
+    for text, s in zip(texts, m.score(pa.array(texts))):
+        met = Counter(f for w in re.split("[ \t\n\x0b\f\r]+", text or "") for f in toxicity.features_of(w.encode()))
+        total = -0.5 + sum(m.weights.get(f, 0) + (n > 1) * m.weights.get(f + toxicity.AGAIN, 0) for f, n in met.items())
+        assert abs(1 / (1 + math.exp(-total)) - s) < 1e-9
+
+
+def test_counterfactuals_swap_every_form(monkeypatch):
+    """"women" and "women," in one text are both swapped, punctuation stays, and no counterfactual names the group."""
+    seen = []
+    plain = toxicity.features_of
+    monkeypatch.setattr(toxicity, "features_of", lambda w: seen.append(w.decode()) or plain(w))
+    toxicity.train([["women", "women", "women,", "(men)", "x"], ["y"]] * 10, np.array([1.0, 0.0] * 10))
+    swapped = {w for w in seen if w.strip("(),") not in ("women", "men", "x", "y")} - {t for g in toxicity.IDENTITY_TERMS for t in g}
+    assert {w.strip("(),") for w in swapped} <= {"girls", "boys"} and any(w.endswith(",") for w in swapped) and any(w.startswith("(") for w in swapped | set(seen))
