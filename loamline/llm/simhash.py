@@ -5,8 +5,8 @@ Fingerprints: 64 bits; words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower
 
 Links: fingerprints that differ in ``budget`` bits or fewer.  Only distinct fingerprints take part.
 The 64 bits are cut into four blocks of 16; with two differing bits at most, two of the blocks are
-equal, so each fingerprint goes to six groups, one for each pair of blocks.  Within a group the
-fingerprints form a binary trie which is joined with itself: pairs of nodes go down together, level by level, as arrays of
+equal, so each fingerprint goes to six groups, one for each pair of blocks; this deals out the work.  Every link comes from the trie: in
+each group, of two fingerprints on, these form a binary trie which is joined with itself.  Pairs of nodes go down together, level by level, as arrays of
 ranges; differing branches add up, and a pair beyond the budget is pruned.  Groups of one are
 dropped before (a semi-join by count), and a group of more than ``large`` goes to six
 smaller ones by its other 32 bits, after which 2^16 fingerprints is the most that a group can hold.  A group hands on a
@@ -32,12 +32,10 @@ from pyspark.sql import functions as F
 from loamline.llm.components import components
 from loamline.llm.encoding import slices
 from loamline.llm.words import LONG, parts_of
-from loamline.shared import cut
+from loamline.shared import cut, map_batches, named, packed, unpacked
 
-#: Pairs of trie nodes with so many pairs of leaves at most are compared leaf by leaf.
-_LEAVES = 256
-#: Comparisons made at once.
-_AT_ONCE = 2_000_000
+#: Pairs of trie nodes that are worked on at once.
+_AT_ONCE = 500_000
 #: Bytes of a text worked on at once.
 _PART = LONG
 
@@ -74,41 +72,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
-
-
-def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs within ``budget`` bits in each range of ``fps`` (unsigned, ascending in each range, distinct)."""
-    lo1, hi1 = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
-    lo2, hi2, differ = lo1, hi1, np.zeros(len(lo1), np.int64)
-    for level in range(63, -2, -1):
-        n1, n2 = hi1 - lo1, hi2 - lo2
-        small = n1 * n2 <= _LEAVES
-        yield from _compare(fps, lo1[small], n1[small], lo2[small], n2[small], budget)
-        lo1, hi1, lo2, hi2, differ = (x[~small] for x in (lo1, hi1, lo2, hi2, differ))
-        if not len(lo1):
-            return
-        ones = np.concatenate([[0], np.cumsum((fps >> np.uint64(level)) & np.uint64(1), dtype=np.int64)])
-        mid1, mid2 = hi1 - (ones[hi1] - ones[lo1]), hi2 - (ones[hi2] - ones[lo2])
-        other = lo1 != lo2  # of a node paired with itself the two crossed pairs are one
-        children = [(lo1, mid1, lo2, mid2, differ), (mid1, hi1, mid2, hi2, differ), (lo1, mid1, mid2, hi2, differ + 1), tuple(x[other] for x in (mid1, hi1, lo2, mid2, differ + 1))]
-        lo1, hi1, lo2, hi2, differ = (np.concatenate(x) for x in zip(*children))
-        live = (hi1 > lo1) & (hi2 > lo2) & (differ <= budget)
-        lo1, hi1, lo2, hi2, differ = (x[live] for x in (lo1, hi1, lo2, hi2, differ))
+    return map_batches(rows, run, "doc_id long, fp long")
+
 
+def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, visits: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs within ``budget`` bits in each range of ``fps`` (unsigned, ascending in each range, distinct).
 
-def _compare(fps, lo1, n1, lo2, n2, budget):
-    size = n1 * n2
-    end = np.cumsum(size)
-    at = 0
-    while at < len(size):
-        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + _AT_ONCE, side="right")))
-        which = np.repeat(np.arange(at, stop), size[at:stop])
-        k = np.arange(len(which)) - np.repeat(end[at:stop] - size[at:stop] - (end[at - 1] if at else 0), size[at:stop])
-        a, b = lo1[which] + k // n2[which], lo2[which] + k % n2[which]
-        near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= budget) & ((lo1 != lo2)[which] | (a < b))
-        yield a[near], b[near]
-        at = stop
+    A node is a range of ``fps`` with equal upper bits.  Each range's root is paired with itself; a pair of nodes goes down to the pairs of their children,
+    a bit that differs is counted, and a pair beyond the budget is pruned.  A node with one leaf is that leaf, so a pair of such is settled
+    by its remaining bits.  ``visits`` gets the number of node pairs of each step.
+    """
+    lo, hi = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    stack = [(63, np.stack([lo, hi, lo, hi, np.zeros(len(lo), np.int64)]))]
+    while stack:
+        level, pairs = stack.pop()
+        if pairs.shape[1] > _AT_ONCE:  # in parts, so that memory doesn't grow with the pairs of a level
+            stack += [(level, part) for part in np.array_split(pairs, -(-pairs.shape[1] // _AT_ONCE), axis=1)]
+            continue
+        if visits is not None:
+            visits.append(pairs.shape[1])
+        lo1, hi1, lo2, hi2, differ = pairs
+        leaf = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
+        a, b = lo1[leaf], lo2[leaf]
+        below = np.uint64((1 << (level + 1)) - 1)
+        near = (a != b) & (differ[leaf] + np.bitwise_count((fps[a] ^ fps[b]) & below) <= budget)
+        if near.any():
+            yield a[near], b[near]
+        if leaf.all():
+            continue
+        lo1, hi1, lo2, hi2, differ = pairs[:, ~leaf]
+        mid1, mid2 = _middle(fps, lo1, hi1, level), _middle(fps, lo2, hi2, level)
+        other = lo1 != lo2  # of a node paired with itself the two crossed pairs are one
+        children = [(lo1, mid1, lo2, mid2, differ), (mid1, hi1, mid2, hi2, differ), (lo1, mid1, mid2, hi2, differ + 1), tuple(x[other] for x in (mid1, hi1, lo2, mid2, differ + 1))]
+        pairs = np.concatenate([np.stack(c) for c in children], axis=1)
+        alone = (pairs[0] == pairs[2]) & (pairs[1] - pairs[0] <= 1)  # a leaf paired with itself
+        pairs = pairs[:, (pairs[1] > pairs[0]) & (pairs[3] > pairs[2]) & (pairs[4] <= budget) & ~alone]
+        if pairs.shape[1]:
+            stack.append((level - 1, pairs))
+
+
+def _middle(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndarray:
+    """Where the children of nodes part: the first position whose bit ``level`` is one, by bisection of all nodes at once."""
+    bit = np.uint64(1 << level)
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        one = np.zeros(len(lo), bool)
+        one[open_] = (fps[mid[open_]] & bit) != 0
+        hi = np.where(open_ & one, mid, hi)
+        lo = np.where(open_ & ~one, mid + 1, lo)
+    return lo
 
 
 def _stars(group: np.ndarray, fps: np.ndarray, nodes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +200,7 @@ def links(nodes: DataFrame, large: int = 4096) -> DataFrame:
     many = grouped.filter(f"n > {large}").withColumn("rest", _other_bits("key", "fp"))
     many = many.select("key", F.explode(_blocks(32, 8, "rest")).alias("sub"), "fp", "node").withColumn("sub", F.col("sub") + 1)
     rows = few.unionByName(many).repartition("key", "sub").sortWithinPartitions("key", "sub")
-    return rows.mapInArrow(lambda b: _join_groups(b, budget), "a long, b long")
+    return map_batches(rows, lambda b: _join_groups(b, budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, large: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +213,7 @@ def near_duplicates(docs: DataFrame, *, large: int = 4096, id_col: str = "doc_id
 
 
 def keep_one(docs: DataFrame, *, large: int = 4096, most_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
-    """One document of each component, that with the least id; all columns as they are.
+    """One document of each component, that with the least id; all columns as they are, whatever their names.
 
     Components are those of ``near_duplicates``, or of ``found`` (``doc_id, component_id``).
     Documents without an id stay.  Rows with the same id are one document, of which the row with the least text stays.
@@ -208,15 +221,15 @@ def keep_one(docs: DataFrame, *, large: int = 4096, most_broadcast: int = 4_000_
     """
     found = near_duplicates(docs, large=large, id_col=id_col, text_col=text_col) if found is None else found
     found = cut(found.filter("doc_id is not null"))
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again"))
+    drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     n_drop, n_again = drop.count(), again.count()
     bounded = lambda ids, n: F.broadcast(ids) if n <= most_broadcast else ids
-    own = F.col(id_col).cast("long")
-    kept = docs.join(bounded(drop, n_drop), own == F.col("__drop"), "left_anti") if n_drop else docs
-    if not n_again:
-        return kept
-    once = kept.join(bounded(again, n_again), own == F.col("__again"), "left_anti")
-    more = kept.join(bounded(again, n_again), own == F.col("__again"), "left_semi")
-    least = more.groupBy(own.alias("__own")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("row")).select("row.*")
-    return once.unionByName(least)
+    rows = packed(docs, doc_id=named(id_col).cast("long"))
+    kept = rows.join(bounded(drop, n_drop), "doc_id", "left_anti") if n_drop else rows
+    if n_again:
+        once = kept.join(bounded(again, n_again), "doc_id", "left_anti")
+        more = kept.join(bounded(again, n_again), "doc_id", "left_semi")
+        least = more.groupBy("doc_id").agg(F.min_by("row", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))).alias("row"))
+        kept = once.select("row").unionByName(least.select("row"))
+    return unpacked(kept, docs.columns)

@@ -64,6 +64,42 @@ def test_trie_pairs():
     assert got == want
 
 
+def test_trie_visits(monkeypatch):
+    """Far fewer node pairs than pairs of fingerprints are visited; in parts it is the same."""
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    fps = np.unique(np.concatenate([fps, fps[::40] ^ np.uint64(1 << 40) ^ np.uint64(8)]))
+    run = lambda v: sorted(tuple(sorted(p)) for a, b in simhash.trie_pairs(fps, [0], [len(fps)], 2, v) for p in zip(a.tolist(), b.tolist()))
+    visits = []
+    got = run(visits)
+    assert len(got) == 100 and 64 > len(visits) and len(fps) < sum(visits) < len(fps) ** 2 / 20
+    monkeypatch.setattr(simhash, "_AT_ONCE", 1000)
+    assert run(None) == got
+
+
+def test_documents_enter_the_trie(spark):
+    """Every group of two fingerprints or more on the given documents is joined by way of its trie."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = np.unique(np.array([r.fp for r in simhash.fingerprints(docs).collect()], np.int64).view(np.uint64))
+    visits, links, groups = [], set(), 0
+    for i in range(4):
+        for j in range(i):
+            key = ((fps >> np.uint64(16 * i)) & np.uint64(0xFFFF)) << np.uint64(16) | ((fps >> np.uint64(16 * j)) & np.uint64(0xFFFF))
+            order = np.lexsort((fps, key))
+            edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+            shared = np.diff(edge) > 1
+            groups += shared.sum()
+            own = fps[order]
+            for a, b in simhash.trie_pairs(own, edge[:-1][shared], edge[1:][shared], 2, visits):
+                links |= {tuple(sorted(p)) for p in zip(own[a].tolist(), own[b].tolist())}
+    at = {f: i for i, f in enumerate(fps.tolist())}
+    want = set()
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2):
+            want.add((int(fps[i]), int(fps[i + 1 + j])))
+    assert links == want and links and visits[0] >= 1 and sum(visits) > 2 * groups and len(at) == len(fps)
+
+
 def test_odd(odd):
     rows = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect()}
     zero = "0" * 16
