@@ -49,7 +49,12 @@ def test_none(none):
 
 
 def test_any_order(documents, tmp_path):
-    index = records.with_starts(records.write_records(documents, f"file://{tmp_path}/r", PATH, 2))
+    files = records.write_records(documents, f"file://{tmp_path}/r", PATH, 2)
+    index = records.read_index(files)
+    names = sorted(p.name for p in (tmp_path / "r").iterdir())
+    assert names == sorted(n for r in files.collect() for n in (r.path.split("/")[-1], r.path.split("/")[-1].replace(".rec", ".idx")))
+    order = [r.offset for r in records.shuffled(index, run_length=4).collect()]
+    assert sorted(order) == sorted(r.offset for r in index.collect()) and order != sorted(order)
     some = index.filter("doc_id % 7 = 3").orderBy(F.xxhash64("doc_id"))
     want = {r.doc_id: r.ids_crc32 for r in records.read_records(index).collect()}
     assert {r.doc_id: r.ids_crc32 for r in records.read_records(some).collect()} == {k: v for k, v in want.items() if k % 7 == 3}
@@ -66,3 +71,25 @@ def test_damage():
             records.parse(bytes(bad))
     with pytest.raises(ValueError):
         records.parse(bytes(data[:-1]))
+
+
+def test_damaged_index():
+    entries = np.zeros(records.BLOCK + 3, records._ENTRY)
+    entries["offset"] = np.arange(len(entries)) * 7
+    data = bytearray(records.index_bytes(entries))
+    assert (records.parse_index(bytes(data)) == entries).all() and len(records.parse_index(b"")) == 0
+    for at in (0, records.BLOCK * records._ENTRY.itemsize + 1, len(data) - 1):
+        bad = bytearray(data)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            records.parse_index(bytes(bad))
+    with pytest.raises(ValueError):
+        records.parse_index(bytes(data[:-1]))
+
+
+def test_one_id_in_most_rows(spark):
+    """An id of half the rows spans several ranges, which stay in order."""
+    docs = spark.createDataFrame([(5, f"text {i}") for i in range(600)] + [(i, f"other {i}") for i in range(300)] + [(None, "no id")] * 3, "doc_id long, text string").repartition(8)
+    assert len(check(docs)) == 903
+    parts = {r.range: r["count"] for r in records._ranged(docs, PATH, 2, "doc_id", "text").groupBy("range").count().collect()}
+    assert len(parts) > 5 and max(parts.values()) < 300
