@@ -4,17 +4,20 @@ Base statistics of whole texts: ``n_words, word_chars, n_symbols, n_dup_lines, n
 
 The statistics are transformed into a vector of ``DIMS`` numbers that hardly depend on length: log mean word length, and square
 roots of symbols by words, duplicate lines by words, and repeated words by words.  For each language and source the centre and scatter of
-these vectors are estimated by minimum covariance determinant: from coordinate-wise medians and spreads, concentration steps
-follow, each keeping the ``share`` of the group with the smallest Mahalanobis distances and taking mean and covariance of these anew.
+these vectors are estimated by minimum covariance determinant.  Concentration steps, each keeping the ``share`` of the group with the smallest Mahalanobis
+distances and taking mean and covariance of these anew, go on until no determinant moves any more, from three starts: coordinate-wise medians and
+spreads; the rows of the central box; all rows.  The end with the least determinant is the estimate.
 The scatter is made consistent for the normal distribution, and regularised by a floor on each variance, for most texts have no symbols
-at all.  A document is rejected when its squared distance exceeds ``limit`` (about the 0.99995 quantile of chi-squared with four degrees of freedom) and some statistic lies beyond the centre on its bad side.
+at all.  A document is rejected when its squared distance exceeds ``limit`` (about the 0.99995 quantile of chi-squared with four degrees of freedom).
 
-Groups with fewer than ``least`` documents that pass the base limits are estimated together by language, small languages all together.
+Groups with fewer than ``least`` documents that pass the base limits are too small for an estimate of their own: they are estimated together by language, small
+languages all together.
 Means and products are sums (combined before the shuffle); quantiles are approximate ones (mergeable too); so no group
 meets in one task; what joins back to documents is a row for each group, broadcast if there are 200,000 at most, else joined.
 
 Rules: a null text has no words and fails the base limits, as does any text of under 50 words; null languages and sources are groups of
-their own; with nothing to estimate from, documents are judged by the base limits alone; repeated rows count each; an empty table gives no rows;
+their own; with nothing to estimate from, documents are judged by the base limits alone; repeated rows count each; a very long text is one row, held whole in the JVM with a
+struct for each word; an empty table gives no rows;
 other columns are ignored, whatever their names.
 """
 
@@ -28,8 +31,8 @@ from loamline.shared import cut, small
 DIMS = 4
 #: Least variances of the transformed statistics.
 FLOORS = (0.08**2, 0.10**2, 0.10**2, 0.25**2)
-#: Signs of the bad side; 0: both.
-SIDES = (0, 1, 1, 1)
+#: Starts of the concentration steps: medians and spreads, the central box, all rows.
+STARTS = ("spread", "box", "all")
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -106,33 +109,51 @@ _MODEL = [f"m{i}" for i in range(DIMS)] + [f"l{i}{j}" for i in range(DIMS) for j
 
 
 def _factored(moments: DataFrame, scale: Column) -> DataFrame:
-    """Group, centre and factor from means ``m``, covariances ``c``; the variances have their floors."""
+    """Group, start, centre, factor and log determinant from means ``m``, covariances ``c``; the variances have their floors."""
     cov = {(i, j): F.col(f"c{i}{j}") * scale + (FLOORS[i] if i == j else 0) for i in range(DIMS) for j in range(i + 1)}
     out = moments
     for name, value in _cholesky(cov):
         out = out.withColumn(name, value)
-    return out.select("grp", *_MODEL)
+    logdet = sum((-2 * F.ln(f"r{i}") for i in range(1, DIMS)), -2 * F.ln("r0"))
+    return out.select("grp", "start", *_MODEL, logdet.alias("logdet"))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Means and covariances of ``x0..`` by group."""
+    """Means and covariances of ``x0..`` by group and start."""
     pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-    sums = rows.groupBy("grp").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs])
-    return sums
-
-
-def estimates(vectors: DataFrame, *, share: float = 0.75, steps: int = 3, accuracy: int = 2000) -> DataFrame:
-    """Centre and factored scatter of each ``grp`` of ``x0..`` by minimum covariance determinant."""
-    middle = vectors.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy).alias(f"q{i}") for i in range(DIMS)])
-    zero = {f"c{i}{j}": (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)) for i in range(DIMS) for j in range(i + 1)}
-    model = _factored(middle.select("grp", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)], *[v.alias(k) for k, v in zero.items()]), F.lit(1.0))
-    for _ in range(steps):
-        near = cut(vectors.join(small(model), "grp").select("grp", *[f"x{i}" for i in range(DIMS)], distance().alias("d")))
-        ends = small(near.groupBy("grp").agg(F.percentile_approx("d", share, accuracy).alias("end")))
-        moments = _moments(near.join(ends, "grp").filter("d <= end"))
+    return rows.groupBy("grp", "start").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs])
+
+
+def _starts(vectors: DataFrame, accuracy: int) -> DataFrame:
+    """The first models of each group, a row for each start."""
+    middle = small(vectors.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy).alias(f"q{i}") for i in range(DIMS)]))
+    spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(DIMS)]
+    zero = [(F.pow(spread[i], 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+    first = _factored(middle.select("grp", F.lit(STARTS[0]).alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)], *zero), F.lit(1.0))
+    inside = F.lit(True)
+    for i in range(DIMS):
+        inside = inside & (F.abs(F.col(f"x{i}") - F.col(f"q{i}")[1]) <= 1.5 * spread[i] + FLOORS[i] ** 0.5)
+    box = F.explode(F.when(inside, F.array(F.lit(STARTS[1]), F.lit(STARTS[2]))).otherwise(F.array(F.lit(STARTS[2]))))
+    rest = vectors.join(middle, "grp").select("grp", *[f"x{i}" for i in range(DIMS)], box.alias("start"))
+    return first.unionByName(_factored(_moments(rest), F.lit(1.0)))
+
+
+def estimates(vectors: DataFrame, *, share: float = 0.75, most_steps: int = 30, settled: float = 1e-3, accuracy: int = 2000) -> DataFrame:
+    """``grp``, centre, factored scatter and ``logdet`` of each group of ``x0..`` by minimum covariance determinant.
+
+    The steps end when no log determinant moves by more than ``settled``; that one number comes to the driver.
+    """
+    model = small(_starts(vectors, accuracy))
+    for _ in range(most_steps):
+        near = vectors.join(model, "grp").select("grp", "start", *[f"x{i}" for i in range(DIMS)], distance().alias("d"))
+        ends = small(near.groupBy("grp", "start").agg(F.percentile_approx("d", share, accuracy).alias("end")))
         # a normal sample cut to its central part has this much of its variance (chi-squared with four degrees of freedom)
-        model = _factored(moments, F.lit(1 / CENTRAL[share]))
-    return model
+        new = small(_factored(_moments(near.join(ends, ["grp", "start"]).filter("d <= end")), F.lit(1 / CENTRAL[share])))
+        moved = new.join(model.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        model = new
+        if moved is None or moved <= settled:
+            break
+    return model.groupBy("grp").agg(F.min_by(F.struct(*_MODEL, "logdet"), F.struct(F.round("logdet", 6), "start")).alias("m")).select("grp", "m.*")
 
 
 def _central(share: float) -> float:
@@ -149,7 +170,7 @@ def _central(share: float) -> float:
 CENTRAL = {s / 100: _central(s / 100) for s in range(50, 100)}
 
 
-def judge(docs: DataFrame, *, least: int = 60, share: float = 0.75, steps: int = 3, limit: float = 25.0, **columns: str) -> DataFrame:
+def judge(docs: DataFrame, *, least: int = 60, share: float = 0.75, limit: float = 25.0, **columns: str) -> DataFrame:
     """``doc_id``, base statistics, ``base_failed``, ``distance`` and ``kept`` of each document."""
     stats = cut(statistics(docs, **columns).withColumn("base_failed", base_failed()))
     fit = stats.filter("not base_failed")
@@ -160,13 +181,9 @@ def judge(docs: DataFrame, *, least: int = 60, share: float = 0.75, steps: int =
     groups = small(sizes.join(langs.withColumnRenamed("lang", "lang2"), F.col("lang").eqNullSafe(F.col("lang2"))).select(F.col("lang").alias("lang2"), F.col("source").alias("source2"), grp.alias("grp")))
     same = F.col("lang").eqNullSafe(F.col("lang2")) & F.col("source").eqNullSafe(F.col("source2"))
     vectors = fit.join(groups, same).select("grp", *[c.alias(f"x{i}") for i, c in enumerate(transformed())])
-    model = estimates(cut(vectors), share=share, steps=steps)
+    model = estimates(cut(vectors), share=share)
     known = small(groups.join(model, "grp").drop("grp"))
     x = stats.select("*", *[c.alias(f"x{i}") for i, c in enumerate(transformed())]).join(known, same, "left")
-    bad = F.lit(False)
-    for i, side in enumerate(SIDES):
-        beyond = (F.col(f"x{i}") - F.col(f"m{i}")) * F.col(f"r{i}")
-        bad = bad | ((F.abs(beyond) if side == 0 else beyond * side) > 2)
     out = x.withColumn("distance", F.when(~F.col("base_failed"), distance()))
-    rejected = F.coalesce((F.col("distance") > limit) & bad, F.lit(False))
+    rejected = F.coalesce(F.col("distance") > limit, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & ~rejected).alias("kept"))
