@@ -2,7 +2,7 @@
 
 Labelled page outcomes (1 bad, 0 good, null unknown) are counted by host.  The share of bad pages is shrunk down a chain
 of beta-binomial priors: all pages -> public suffix -> registered domain -> host.  Each level's prior mean is the posterior mean
-above it; its strength comes from the spread of the level's groups around their parents (method of moments for the
+above it (suffixes by the rule of ``suffix_of``, to which a list of public suffixes can be added; ports and users don't count, addresses are their own domains); its strength comes from the spread of the level's groups around their parents (method of moments for the
 intra-class correlation, kept within ``least_rho`` and ``most_rho``).  A host is blocked when the lower bound
 ``mean - z * sd`` of its posterior exceeds ``threshold``.
 
@@ -12,7 +12,7 @@ the rule's; the longest wins (ties: the first by text).
 What is shuffled are counts by host (combined before); pages meet the blocked hosts alone, broadcast if there are 200,000 at most, else joined.
 
 Rules: a null url and one without ``://`` have empty host and path, and such pages are one host; null or missing outcomes leave the
-prior; with no outcomes at all nothing is blocked but by rules; repeated rows count each; an empty table gives no rows; other columns are ignored.
+prior; with no outcomes at all nothing is blocked but by rules; repeated rows count each; a very long page is one row, held whole in the JVM; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from loamline.shared import cut, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which domains are registered; others have one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "co.nz", "com.br", "co.za", "com.cn", "com.tr", "co.in", "co.kr")
+#: Second labels under which registries of country domains (two letters) register names; with these a suffix has two labels.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "mil", "ne", "net", "nom", "or", "org")
+#: Suffixes run by companies below which each name is somebody else's site; a table of public suffixes may be given instead.
+PRIVATE_SUFFIXES = ("appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "wordpress.com")
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -40,14 +42,33 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def site_of(host: Column) -> Column:
+    """A host without user, port, final dots, from which suffix and domain are taken."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), "[.]+$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def is_address(site: Column) -> Column:
+    """IPv4 or bracketed IPv6: a host that is its own domain and suffix."""
+    return site.rlike(r"^([0-9]{1,3}([.][0-9]{1,3}){3}|\[.*\])$")
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = PRIVATE_SUFFIXES) -> Column:
+    """The public suffix: the longest of ``suffixes`` that fits, else two labels where a country registers below the second, else the last label."""
+    site = site_of(host)
+    two, last = F.substring_index(site, ".", -2), F.substring_index(site, ".", -1)
+    paired = two.rlike(f"^({'|'.join(SECOND_LEVEL)})[.][a-z]{{2}}$")
+    found = F.when(is_address(site), site)
+    for labels in sorted({s.count(".") + 1 for s in suffixes}, reverse=True):
+        tail = F.substring_index(site, ".", -labels)
+        found = found.when(tail.isin(*[s for s in suffixes if s.count(".") + 1 == labels]), tail)
+    return found.when(paired, two).otherwise(last)
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = PRIVATE_SUFFIXES) -> Column:
+    """The registered domain: the suffix and the label before it; a bare suffix and an address are their own."""
+    site, suffix = site_of(host), suffix_of(host, suffixes)
+    before = F.substring(site, F.lit(1), F.length(site) - F.length(suffix) - 1)
+    return F.when(F.length(site) <= F.length(suffix), site).otherwise(F.concat_ws(".", F.substring_index(before, ".", -1), suffix))
 
 
 def ruled(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -72,13 +93,13 @@ def _strength(spread: DataFrame, key: list[str], least_rho: float, most_rho: flo
     return (1 - rho) / rho
 
 
-def reputation(pages: DataFrame, *, host: str = "host", outcome: str = "bad", z: float = 1.64, threshold: float = 0.5, least_rho: float = 0.01, most_rho: float = 0.9) -> DataFrame:
+def reputation(pages: DataFrame, *, host: str = "host", outcome: str = "bad", suffixes: Sequence[str] = PRIVATE_SUFFIXES, z: float = 1.64, threshold: float = 0.5, least_rho: float = 0.01, most_rho: float = 0.9) -> DataFrame:
     """``host, n, x, mean, lower, blocked`` from the labelled outcomes of pages.
 
     The counts by host are computed once; the strength of each level and the overall share, four numbers, come to the driver.
     """
     counted = cut(pages.groupBy(F.col(host).alias("host")).agg(F.count(outcome).alias("n"), F.coalesce(F.sum(F.col(outcome).cast("long")), F.lit(0)).alias("x")))
-    hosts = counted.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = counted.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     over = lambda df: df.withColumnsRenamed({"n": "pn", "x": "px"})
     domains = total(hosts, "domain", "suffix")
@@ -121,7 +142,13 @@ with parsed as (
       regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+'), lambda w: w <> '')) < 100 as int) end as bad
   from pages),
 hosts as (
-  select host, count(bad) as n, coalesce(sum(bad), 0) as x, string_split(host, '.')[-1] as suffix, array_to_string(string_split(host, '.')[-2:], '.') as domain from parsed group by host),
+  select host, n, x, suffix, case when length(site) <= length(suffix) then site
+      else string_split(substr(site, 1, length(site) - length(suffix) - 1), '.')[-1] || '.' || suffix end as domain
+  from (select *, case when regexp_full_match(site, '([0-9]{1,3}([.][0-9]{1,3}){3}|\[.*\])') then site
+        when two in ('appspot.com', 'blogspot.com', 'github.io', 'gitlab.io', 'herokuapp.com', 'netlify.app', 'pages.dev', 'vercel.app', 'wordpress.com') then two
+        when regexp_full_match(two, '(ac|co|com|edu|gob|gov|gouv|mil|ne|net|nom|or|org)[.][a-z]{2}') then two else string_split(site, '.')[-1] end as suffix
+    from (select *, array_to_string(string_split(site, '.')[-2:], '.') as two
+      from (select host, count(bad) as n, coalesce(sum(bad), 0) as x, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') as site from parsed group by host)))),
 domains as (select domain, suffix, sum(n) as n, sum(x) as x from hosts group by domain, suffix),
 suffixes as (select suffix, sum(n) as n, sum(x) as x from domains group by suffix),
 everything as (select sum(n) as n, sum(x) as x from suffixes),
