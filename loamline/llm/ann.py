@@ -1,14 +1,14 @@
 """Approximate nearest neighbours by balanced posting lists (op 10).
 
-Fit: a bounded sample of distinct vectors is halved again and again, each time into two equal parts along a
+Fit: a bounded sample of distinct vectors (``sample``, and 64 MB; up to that the number of lists grows with the table) is halved again and again, each time into two equal parts along a
 two-means split, until a part has ``list_sample`` vectors; their means are the centroids, so lists are about equally long.
 A graph of each centroid's nearest neighbours is kept in memory, and every search for centroids walks it best-first.
 
 Index: all vectors, by one pass.  A vector goes to its nearest centroid, and near a boundary to further
 ones too: those within ``1 + spread`` times the least distance, ``most_copies`` at most.
 
-Search: a query reads the lists whose centroid is within ``1 + ratio`` times the distance of its nearest centroid, ``most_lists`` at most, ``least_lists``
-at least.  Lists and queries meet by list; a long list is dealt into parts, and so are many queries of a list.  Distances are
+Search: a query reads the lists whose centroid is within ``1 + ratio`` times a reference distance, ``most_lists`` at most.  The reference is the mean distance of
+its second to ninth nearest centroid, for the nearest alone says little: a vector of the sample has drawn its own centroid near.  Lists and queries meet by list; a long list is dealt into parts, and so are many queries of a list.  Distances are
 exact, in double precision on the vectors as given.
 
 Exact copies are one vector with its ``k + 1`` smallest ids (no more can be among anyone's k nearest), and queries with the same vector are
@@ -17,7 +17,7 @@ searched once, so that a vector standing for a third of the table is one row on
 Rules: vectors that are null, empty, zero, or hold null or non-finite components, null ids, and vectors of another length than most (the
 longer of equally frequent ones) take no part; rows repeating an id and vector count once; of several vectors with one id, all are
 candidates and each finds its own neighbours, ranked together; with fewer than k candidates all are returned; ties go to the smaller
-id; an empty table gives no rows; other columns are ignored.
+id; of components beyond 1e150 the search is coarse, their distances are right; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamline.shared import cut
+from loamline.shared import cut, map_batches
+
+_SAMPLE_BYTES = 64_000_000
 
 
 @dataclasses.dataclass
@@ -104,7 +106,30 @@ def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).astype(np.float64)
 
 
-def search(vectors: DataFrame, *, k: int = 10, every: int = 100, sample: int = 16_384, list_sample: int = 32, spread: float = 0.25, most_copies: int = 6, ratio: float = 0.35, least_lists: int = 24, most_lists: int = 48, list_rows: int = 4_000, query_rows: int = 4_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _squarable(x: np.ndarray) -> np.ndarray:
+    """Components beyond 1e150 are cut to it where lists and candidates are chosen, so that squares stay finite; reported distances don't use this."""
+    return np.clip(x, -1e150, 1e150)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, also where squares would overflow."""
+    with np.errstate(over="ignore"):
+        out = np.sqrt(((x - y) ** 2).sum(1))
+    if (far := ~np.isfinite(out)).any():
+        half = x[far] / 2 - y[far] / 2
+        most = np.abs(half).max(1)
+        out[far] = np.minimum(2 * (most * np.sqrt(((half / most[:, None]) ** 2).sum(1))), np.finfo(float).max)
+    return out
+
+
+def _reference(d: np.ndarray) -> np.ndarray:
+    """The distance that others are held against: the mean of the second to ninth nearest centroid, or of as many as there are."""
+    some = np.where(np.isfinite(d[:, 1:9]), d[:, 1:9], np.nan)
+    n = np.isfinite(some).sum(1)
+    return np.where(n > 0, np.nansum(some, axis=1) / np.maximum(n, 1), d[:, 0])[:, None]
+
+
+def search(vectors: DataFrame, *, k: int = 10, every: int = 100, sample: int = 65_536, list_sample: int = 32, spread: float = 0.25, most_copies: int = 6, ratio: float = 0.08, most_lists: int = 256, list_rows: int = 4_000, query_rows: int = 4_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest of the rows whose id is divisible by ``every``: ``query_id, rank, vec_id, score``."""
     spark = vectors.sparkSession
     item = vectors.schema[vector_col].dataType.elementType
@@ -117,6 +142,7 @@ def search(vectors: DataFrame, *, k: int = 10, every: int = 100, sample: int = 1
     if not widths:
         return empty
     width, total = widths[0]
+    sample = min(sample, max(1024, _SAMPLE_BYTES // (8 * width)))
     rows = rows.filter(F.size("v") == width)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +159,12 @@ def search(vectors: DataFrame, *, k: int = 10, every: int = 100, sample: int = 1
             yield pa.RecordBatch.from_arrays([pa.array([flat[i].tobytes() for i in order[start]], pa.binary()), pa.array([np.unique(g)[: k + 1].tolist() for g in groups], pa.list_(pa.int64()))], ["vec", "ids"])
 
     least = lambda ids: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(ids)))), 1, k + 1)
-    partial = rows.mapInArrow(combine, "vec binary, ids array<long>").groupBy("vec", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(least("ids").alias("ids"))
+    partial = map_batches(rows, combine, "vec binary, ids array<long>").groupBy("vec", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(least("ids").alias("ids"))
     distinct = cut(partial.groupBy("vec").agg(least("ids").alias("ids")).select("vec", "ids", F.col("ids")[0].alias("rep")))
     n = distinct.count()
     taken = distinct.select("vec", F.xxhash64("vec").alias("h")).filter(F.pmod(F.col("h"), F.lit(1 << 20)) < min(1 << 20, 2 + (2 * sample << 20) // n)).orderBy("h", "vec").limit(sample).select("vec").toArrow()
     x = _matrix(taken.column("vec").combine_chunks(), dtype).reshape(-1, width)
-    index = spark.sparkContext.broadcast(build(x, list_sample))  # under sample / list_sample * 2 centroids
+    index = spark.sparkContext.broadcast(build(_squarable(x), list_sample))  # under sample / list_sample * 2 centroids
 
     def dealt(columns: list[str], probe: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +172,10 @@ def search(vectors: DataFrame, *, k: int = 10, every: int = 100, sample: int = 1
             for batch in batches:
                 for at in range(0, len(batch), 1024):
                     part = batch.slice(at, 1024)
-                    q = _matrix(part.column(0), dtype).reshape(-1, width)
-                    near, d = ix.nearest(q, most_lists if probe else most_copies, 2 * most_lists if probe else 32)
+                    q = _squarable(_matrix(part.column(0), dtype).reshape(-1, width))
+                    near, d = ix.nearest(q, most_lists if probe else most_copies, most_lists + 64 if probe else 32)
                     if probe:
-                        take = (d <= (1 + ratio) * d[:, :1] + 1e-12) | (np.arange(near.shape[1]) < least_lists)
+                        take = d <= (1 + ratio) * _reference(d) + 1e-12
                     else:
                         take = d <= (1 + spread) * d[:, :1] + 1e-12
                     take &= np.isfinite(d)
@@ -158,7 +184,7 @@ def search(vectors: DataFrame, *, k: int = 10, every: int = 100, sample: int = 1
 
         return run
 
-    posted = distinct.select("vec", "ids", "rep").mapInArrow(dealt(["vec", "ids", "rep"], False), "list long, vec binary, ids array<long>, rep long")
+    posted = map_batches(distinct.select("vec", "ids", "rep"), dealt(["vec", "ids", "rep"], False), "list long, vec binary, ids array<long>, rep long")
     asking = rows.filter(F.col("id") % every == 0).select("id", F.col("v"))
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +192,9 @@ def search(vectors: DataFrame, *, k: int = 10, every: int = 100, sample: int = 1
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in flat], pa.binary())], ["id", "vec"])
 
-    asking = cut(asking.mapInArrow(bytes_of, "id long, vec binary"))
+    asking = cut(map_batches(asking, bytes_of, "id long, vec binary"))
     queries = asking.groupBy("vec").agg(F.min("id").alias("q"))
-    probes = cut(queries.select("vec", "q").mapInArrow(dealt(["vec", "q"], True), "list long, vec binary, q long"))
+    probes = cut(map_batches(queries.select("vec", "q"), dealt(["vec", "q"], True), "list long, vec binary, q long"))
     posted = cut(posted)
     sizes = posted.groupBy("list").agg(F.count("*").alias("n")).join(probes.groupBy("list").agg(F.count("*").alias("m")), "list")
     sizes = F.broadcast(sizes.selectExpr("list", f"cast(ceil(n / {list_rows}) as int) as vs", f"cast(ceil(m / {query_rows}) as int) as qs"))  # a row for each centroid
@@ -180,12 +206,14 @@ def search(vectors: DataFrame, *, k: int = 10, every: int = 100, sample: int = 1
         if len(a) and len(b):
             y, x = _matrix(a.column("vec").combine_chunks(), dtype).reshape(-1, width), _matrix(b.column("vec").combine_chunks(), dtype).reshape(-1, width)
             ids, who = a.column("ids").to_pylist(), b.column("q").to_pylist()
-            square = (y**2).sum(1)
+            near = _squarable(y)
+            square = (near**2).sum(1)
             for at in range(0, len(x), 256):
-                rough = square[None] + (x[at : at + 256] ** 2).sum(1)[:, None] - 2 * x[at : at + 256] @ y.T
+                some = _squarable(x[at : at + 256])
+                rough = square[None] + (some**2).sum(1)[:, None] - 2 * some @ near.T
                 kth = np.partition(rough, min(k, rough.shape[1] - 1), axis=1)[:, min(k, rough.shape[1] - 1)]
                 r, c = np.nonzero(rough <= (kth + 1e-9 * (1 + square.max()))[:, None])
-                exact = np.sqrt(((x[at + r] - y[c]) ** 2).sum(1))
+                exact = distances(x[at + r], y[c])
                 order = np.lexsort((exact, r))
                 edge = np.searchsorted(r[order], np.arange(min(256, len(x) - at) + 1))
                 for i in range(len(edge) - 1):
@@ -196,7 +224,9 @@ def search(vectors: DataFrame, *, k: int = 10, every: int = 100, sample: int = 1
 
     by = ["list", "vpart", "qpart"]
     met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "q long, id long, d double")
-    best = met.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "id"))), 1, k + 1).alias("best"))
+    # of each query the best k + 1 in each partition first, then of all: no group holds more
+    once = met.groupBy("q", "id").agg(F.min("d").alias("d")).selectExpr("*", "row_number() over (partition by q order by d, id) as place").filter(F.col("place") <= k + 1)
+    best = once.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("best"))
     answers = asking.distinct().join(queries, "vec").join(best, "q").select(F.col("id").alias("query_id"), F.slice(F.filter("best", lambda c: c["id"] != F.col("id")), 1, k).alias("best"))
     return answers.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("vec_id"), F.col("col.d").alias("score"))
 

@@ -52,3 +52,40 @@ def test_few_and_none(spark):
     assert found(few) == {0: [(1.0, 1)]}
     assert found(few.filter("vec_id = 0")) == {}
     assert found(few.filter("vec_id > 5")) == {}
+
+
+def test_huge_components(spark):
+    """Squares beyond the range of doubles: every query has its neighbours, at the right distance."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=4) * 1e200).tolist()) for i in range(30)]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10)
+    at = dict(rows)
+    assert sorted(got) == [0, 10, 20] and all(len(v) == 10 for v in got.values())
+    for q, v in got.items():
+        for d, i in v:
+            assert abs(d - 1e200 * np.sqrt(((np.array(at[q]) / 1e200 - np.array(at[i]) / 1e200) ** 2).sum())) < 1e188
+
+
+@pytest.mark.parametrize("table", ["check_s", "check_l"])
+def test_compared_vectors_grow_slower_than_the_table(spark, table):
+    """Recall of 0.9 or more at both sizes; lists read by ratio alone."""
+    t = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in t if r.embedding and len(r.embedding) == 64], float)
+    x = np.unique(x[np.isfinite(x).all(1) & (x != 0).any(1)], axis=0)
+    index = ann.build(x[np.random.default_rng(0).permutation(len(x))[:65_536]], 32)
+    lists, d = index.nearest(x, 6, 32)
+    q = x[::100]
+    near, far = index.nearest(q, 256, 320)
+    take = far <= 1.08 * ann._reference(far)
+    sizes = np.bincount(lists[np.isfinite(d)], minlength=len(index.centroids))
+    read = np.array([sizes[a[b]].sum() for a, b in zip(near, take)])
+    posted = [set() for _ in index.centroids]
+    for i, own in enumerate(lists):
+        for c in own:
+            posted[c].add(i)
+    hits = 0
+    for v, a, b in zip(q[:100], near, take):
+        want = np.argsort(((x - v) ** 2).sum(1))[1:11]
+        hits += len(set(want.tolist()) & set().union(*(posted[c] for c in a[b])))
+    assert hits >= 900 * min(1, len(q) / 100)
+    assert read.mean() < (1.3 if table == "check_s" else 0.7) * len(x)
