@@ -15,7 +15,8 @@ Words are counted once, into a narrow table.  What follows shuffles counts by so
 in joins (a hot source has many blocks, and a skewed side can be split).
 
 Rules: null sources are one source; documents without words go with their block; a source without any words has weight zero,
-and with ``cover`` one pass; null texts have no words; repeated rows and equal hashes stay together (they are taken or left alike); an empty table gives no rows.
+and with ``cover`` one pass; null texts have no words; repeated rows and equal hashes stay together (they are taken or left alike), as do rows with a null id of one source;
+a very long text is one row, held whole in the JVM; an empty table gives no rows; other columns come back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.shared import cut, small
+from loamline.shared import cut, named, packed, small, unpacked
 
 SEED = "mix-1"
 
@@ -84,7 +85,7 @@ def plan(docs: DataFrame, *, entropy: float | None = 0.5, repeats: float | None
 
     ``rest`` is null where a block is taken whole, else the tokens of it that are still wanted.
     """
-    counted = cut(docs.select(F.col(source_col).alias("s"), _hash(F.col(source_col), F.col(id_col)).alias("_h"), words(F.col(text_col)).alias("_n")))
+    counted = cut(docs.select(named(source_col).alias("s"), _hash(named(source_col), named(id_col)).alias("_h"), words(named(text_col)).alias("_n")))
     sources = cut(counted.groupBy(F.col("s").alias("source")).agg(F.sum("_n").alias("tokens")))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     if not cover and budget is None:
@@ -110,8 +111,8 @@ def plan(docs: DataFrame, *, entropy: float | None = 0.5, repeats: float | None
     return cut(taken), placed.select("source", "block", "blocks", "_h", "_n")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", columns: list[str] | None = None, most_broadcast: int = 200_000, **options) -> DataFrame:
-    """The documents of the mixture (``columns``, default all), each as often as it is taken, with ``pass`` and ``block_rank``.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", columns: list[str] | None = None, most_broadcast: int = 200_000, passes: bool = True, **options) -> DataFrame:
+    """The documents of the mixture (``columns``, default all), each as often as it is taken, with ``pass`` and ``block_rank`` if ``passes``.
 
     The tables by source and by block are broadcast if they have ``most_broadcast`` rows at most, else joined.
     """
@@ -125,10 +126,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     sized = blocks.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("_s"), "_blocks", "_until")
     chosen = small(taken.join(sized, F.col("source").eqNullSafe(F.col("_s"))).select("_s", F.col("block").alias("_b"), F.col("pass").alias("_pass"), F.col("block_rank").alias("_rank"), F.when(F.col("rest").isNotNull(), F.coalesce("_until", F.lit(""))).alias("_until")), most_broadcast)
     sized = small(sized, most_broadcast)
-    keyed = docs.select(*{*columns, id_col, source_col}).withColumn("_h", _hash(F.col(source_col), F.col(id_col)))
-    keyed = keyed.join(sized.select(F.col("_s").alias("_of"), "_blocks"), F.col(source_col).eqNullSafe(F.col("_of"))).withColumn("_block", _number(F.col("_h")) % F.col("_blocks"))
-    met = keyed.join(chosen, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_until").isNull() | (F.col("_h") <= F.col("_until"))))
-    return met.select(*columns, F.col("_pass").alias("pass"), F.col("_rank").alias("block_rank"))
+    rows = packed(docs.select(*[named(c) for c in columns]) if set(columns) >= {id_col, source_col} else docs, _of=named(source_col), _h=_hash(named(source_col), named(id_col)))
+    keyed = rows.join(sized.select(F.col("_s").alias("_whose"), "_blocks"), F.col("_of").eqNullSafe(F.col("_whose"))).withColumn("_block", _number(F.col("_h")) % F.col("_blocks"))
+    met = keyed.join(chosen, F.col("_of").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_until").isNull() | (F.col("_h") <= F.col("_until"))))
+    return unpacked(met, columns, *([F.col("_pass").alias("pass"), F.col("_rank").alias("block_rank")] if passes else []))
 
 
 SQL = r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, path string, fp long, rest string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, path string, fp long, rest string, _s string, _h string, _block int, pass string, `a.b` string, __drop long, row string, node long"
 
 
 @pytest.fixture(scope="session")
@@ -22,7 +22,7 @@ def odd(spark):
         (8, "one two three four five", "fr", None),
         (9, "##### $$$ %%% <|endoftext|> 日本語 \u00a0 x", "en", "a"),
     ]
-    return spark.createDataFrame([(*r, None, 0.5, "p", 7, "r") for r in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, None, 0.5, "p", 7, "r", "s1", "h1", 5, "p1", "dot", 9, "w", 3) for r in rows], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -52,10 +52,32 @@ def test_hosts_none(spark):
     assert hosts.judge(empty, hosts.thin_page(F.col("html"))).collect() == []
 
 
+SITES = {
+    "a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com": ("com", "y.com"), "com": ("com", "com"), "": ("", ""),
+    "a.com.mx": ("com.mx", "a.com.mx"), "w.a.co.il:8080": ("co.il", "a.co.il"), "x.github.io": ("github.io", "x.github.io"), "w.x.github.io": ("github.io", "x.github.io"),
+    "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:8": ("[::1]", "[::1]"), "u:p@h.d.org.": ("org", "d.org"), "community.de": ("de", "community.de"),
+}
+
+
 def test_suffixes(spark):
-    df = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",)], "h string")
-    got = [tuple(r) for r in df.select(hosts.suffix_of(F.col("h")), hosts.domain_of(F.col("h"))).collect()]
-    assert got == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "y.com"), ("com", "com"), ("", "")]
+    df = spark.createDataFrame([(h,) for h in SITES], "h string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("h", hosts.suffix_of(F.col("h")), hosts.domain_of(F.col("h"))).collect()}
+    assert got == SITES
+    given = df.select("h", hosts.suffix_of(F.col("h"), ("b.co.uk", "y.com"))).collect()
+    assert {r[0]: r[1] for r in given}["a.b.co.uk"] == "b.co.uk" and {r[0]: r[1] for r in given}["x.github.io"] == "io"
+
+
+def test_hosts_of_all_kinds_same_as_sql(spark):
+    """Suffixes of two labels, addresses and ports in the query and its SQL."""
+    c = duckdb.connect()
+    thin, full = "<p>few words</p>", "<p>" + "word " * 150 + "</p>"
+    names = [h for h in SITES if h] + ["bad.b.co.uk", "c.b.co.uk", "one.com.mx", "two.com.mx", "y.github.io"]
+    rows = [(i, f"http://{names[i % len(names)]}/p{i % 3}", thin if i % len(names) % 3 == 0 or i % 11 == 0 else full) for i in range(1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    c.register("pages", df.toPandas())
+    got = {tuple(r) for r in hosts.judge(df, hosts.thin_page(F.col("html"))).select("page_id", "host", "path", "rule", "verdict").collect()}
+    want = {tuple(None if v is None or v != v else v for v in r) for r in c.execute(f"select page_id, host, path, rule, verdict from ({hosts.SQL})").df().astype(object).itertuples(index=False)}
+    assert got == want and {v for *_, v in got} == {"allow", "block"}
 
 
 def tokens(rows):
@@ -85,6 +107,9 @@ def test_quotas_and_limits(spark):
 
 def test_mixing_odd_and_none(odd, none):
     got = mixing.mix(odd, entropy=None, repeats=1.5, cover=True)
-    assert got.drop("pass", "block_rank").columns == odd.columns
+    assert got.columns == [*odd.columns, "pass", "block_rank"]
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in odd.collect()}
+    whole = mixing.mix(odd, entropy=None, repeats=1.5, cover=True, passes=False)
+    assert whole.schema == odd.schema and {tuple(r) for r in whole.collect()} == {tuple(r) for r in odd.collect()}
+    assert [r for r in mixing.mix(odd, columns=["a.b", "source", "doc_id"], cover=True, entropy=None, repeats=1.5).collect() if r[0] != "dot"] == []
     assert mixing.mix(none).collect() == [] and mixing.mix(none, cover=True).collect() == []
