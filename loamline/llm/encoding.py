@@ -46,19 +46,21 @@ _LOWER[0x41:0x5B] += 32
 _LONG = 4_000_000
 #: Pieces longer than this aren't remembered.
 _KEEP_BYTES = 64
+#: About the bytes that a piece remembered takes besides its own and its ids'.
+_ENTRY = 160
 
 
 class PieceEncoder:
-    """Encode texts with a tokenizer file; ``keep`` bounds the pieces remembered (two generations of so many)."""
+    """Encode texts with a tokenizer file; ``keep`` bounds the bytes of the pieces remembered (two generations of so many)."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 16 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._keep = keep
+        self._keep, self._held = keep, 0
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
@@ -150,14 +152,16 @@ class PieceEncoder:
                 fresh.append(i)
             else:
                 got[i] = young[pieces[i]] = x
+                self._held += len(x) + len(pieces[i]) + _ENTRY
         for i in range(0, len(fresh), 2048):
             part = fresh[i : i + 2048]
             for k, ids in zip(part, self._encode_pieces([pieces[k] for k in part])):
                 got[k] = ids
                 if len(pieces[k]) <= _KEEP_BYTES:
                     young[pieces[k]] = ids
-        if len(young) > self._keep:
-            self._old, self._young = young, {}
+                    self._held += len(ids) + len(pieces[k]) + _ENTRY
+        if self._held > self._keep:
+            self._old, self._young, self._held = young, {}, 0
         return got
 
     def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
@@ -256,7 +260,7 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def slices(texts: pa.Array, size: int = 3_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many bytes at most, one row at least."""
     import pyarrow.compute as pc
 

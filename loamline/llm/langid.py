@@ -10,9 +10,9 @@ greatest cosine.  Seeds are taken from the nine tenths of a sample that are near
 ``CUTS`` characters, by their n-grams, and read between these; learning texts that are five deviations (of the
 median) under their language's median are left out of it.
 
-Rules: null texts and texts without letters are ``und``, score 0, rejected; rows with a null language, id or text aren't learned
+Rules: null texts and texts without letters are ``und``, score 0, rejected; a very long text is counted whole, in parts; rows with a null language, id or text aren't learned
 from; without any learning rows all texts are ``und``; ties go to the first language by name; repeated rows are
-predicted alike; an empty table gives no rows; other columns are ignored.
+predicted alike, and one of them at most is in the sample; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from loamline.llm.encoding import slices
 from loamline.llm.words import fold_of, keep_where
+from loamline.shared import cut, map_batches
 
 DIM = 4096
-_ROWS = 256
-LONG_CHARS = 1_000_000
+#: Texts and bytes of text that are worked on at once; longer texts are counted in parts of so many characters.
+_ROWS, _BYTES = 64, 128_000
+PART_CHARS = 128_000
 #: Characters of the beginnings that floors are learned from, besides whole texts.
 CUTS = (4, 8, 16, 32, 64, 128, 256, 512, 1024)
 _tables: list[np.ndarray] = []
@@ -45,15 +47,8 @@ def _letters() -> np.ndarray:
     return _tables[0]
 
 
-def counts(texts: pa.Array) -> np.ndarray:
-    """n-gram counts, a row of ``DIM`` for each text; all zero without letters."""
-    strings = ["" if t is None else t for t in texts.to_pylist()]
-    if max(map(len, strings), default=0) > LONG_CHARS:  # in parts; the n-grams across a seam are those at gaps
-        rows = []
-        for s in strings:
-            parts = [s[i : i + LONG_CHARS] for i in range(0, len(s), LONG_CHARS)] or [""]
-            rows.append(sum((counts(pa.array([p]))[0] for p in parts[1:]), counts(pa.array(parts[:1]))[0]))
-        return np.stack(rows)
+def _grams(strings: list[str]) -> np.ndarray:
+    """n-gram counts of strings that are worked on at once, a row of ``DIM`` for each."""
     codes = [np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32) for s in strings]
     gap = np.zeros(1, np.uint32)
     flat = _letters()[np.concatenate([x for c in codes for x in (gap, c)] + [gap])]
@@ -73,6 +68,25 @@ def counts(texts: pa.Array) -> np.ndarray:
     return np.bincount(rows * DIM + slot, minlength=(len(codes) + 1) * DIM)[: len(codes) * DIM].reshape(-1, DIM)
 
 
+def counts(texts: pa.Array) -> np.ndarray:
+    """n-gram counts, a row of ``DIM`` for each text; all zero without letters.
+
+    A text of over ``PART_CHARS`` characters is counted in parts.  No n-gram is longer than three, so what a seam changes is what it changes
+    between the two characters on either side: their counts together, less those of either side alone, are added.
+    """
+    strings = ["" if t is None else t for t in texts.to_pylist()]
+    if max(map(len, strings), default=0) <= PART_CHARS:
+        return _grams(strings)
+    out = np.zeros((len(strings), DIM), np.int64)
+    for row, s in zip(out, strings):
+        for at in range(0, len(s) or 1, PART_CHARS):
+            row += _grams([s[at : at + PART_CHARS]])[0]
+            if at:
+                both, left, right = _grams([s[at - 2 : at + 2], s[at - 2 : at], s[at : at + 2]])
+                row += both - left - right
+    return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return (x / np.where(n == 0, 1, n)).astype(np.float32)
@@ -85,7 +99,7 @@ def vectors(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    for lo, hi in slices(texts, 1_000_000):
+    for lo, hi in slices(texts, _BYTES):
         yield from ((i, min(i + _ROWS, hi)) for i in range(lo, hi, _ROWS))
 
 
@@ -132,33 +146,46 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
     return c, np.argmax(x @ c.T, axis=1)
 
 
-def _floors(texts: pa.Array, idf: np.ndarray, c: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of the texts' beginnings (medians, ascending), and ``slack`` times the lowest percentile of their greatest cosines to ``c``."""
+def _floors(x: np.ndarray, n: np.ndarray, begins: pa.Array, idf: np.ndarray, c: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of texts' beginnings (medians, ascending), and ``slack`` times the lowest percentile of their greatest cosines to ``c``."""
     import pyarrow.compute as pc
 
-    def cosines(some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [((x @ c.T).max(1), n) for x, n in (vectors(some[lo:hi], idf) for lo, hi in _parts(some))]
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-    near, n = cosines(texts)
-    middle = np.median(near[n > 0])
-    typical = (n > 0) & (near >= middle - 5 * max(1.4826 * np.median(np.abs(near[n > 0] - middle)), 0.02))
+    near = (x @ c.T).max(1)
+    middle = np.median(near)
+    typical = near >= middle - 5 * max(1.4826 * np.median(np.abs(near - middle)), 0.02)
     told = [(np.median(n[typical]), np.quantile(near[typical], 0.01))]
     for size in CUTS:
-        near, n = cosines(pc.utf8_slice_codeunits(texts.filter(pa.array(typical)), 0, size))
-        if n.any():
-            told.append((np.median(n[n > 0]), np.quantile(near[n > 0], 0.01)))
+        cut = pc.utf8_slice_codeunits(begins.filter(pa.array(typical)), 0, size)
+        found = [((v @ c.T).max(1), m) for v, m in (vectors(cut[lo:hi], idf) for lo, hi in _parts(cut))]
+        near, m = (np.concatenate(f) for f in zip(*found))
+        if m.any():
+            told.append((np.median(m[m > 0]), np.quantile(near[m > 0], 0.01)))
     grams, floors = np.array(sorted(told)).T
     short = len(CUTS) + 1 - len(grams)
     return np.pad(grams, (short, 0), "edge"), slack * np.pad(floors, (short, 0), "edge")
 
 
-def fit(docs: DataFrame, *, per_language: int = 400, clusters: int = 4, slack: float = 0.85, seed: int = 5) -> Model:
+def sampled(rows: DataFrame, per_language: int, most_languages: int, seed: int) -> DataFrame:
+    """``doc_id, lang, text`` of ``per_language`` ids of each language at most, by a seeded hash of the id; of rows with the same id and language, one."""
+    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)).alias("u")
+    sizes = cut(rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")))
+    if (n := sizes.count()) > most_languages:
+        raise ValueError(f"{n} languages to learn, more than most_languages={most_languages}")
+    likely = rows.select("doc_id", "lang", u).join(F.broadcast(sizes), "lang").filter(F.col("u") * F.col("n") < 2 * per_language).distinct()
+    ids = likely.selectExpr("doc_id", "lang", "row_number() over (partition by lang order by u, doc_id) as k").filter(f"k <= {per_language}").select("doc_id", "lang")
+    # per_language * most_languages ids at most
+    return rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
+def fit(docs: DataFrame, *, per_language: int = 400, clusters: int = 4, slack: float = 0.85, seed: int = 5, most_languages: int = 1000) -> Model:
     """Learn from ``doc_id, text, lang`` rows: idf from all of them, centroids from ``per_language`` of each language.
 
-    What comes to the driver: ``DIM`` counts, and ``clusters`` vectors of ``DIM`` floats for each language.
+    What meets in a task are vectors and beginnings of the documents sampled of one language (about 20 kB each), never whole texts.
+    What comes to the driver: ``DIM`` counts, and ``clusters`` vectors of ``DIM`` floats for each of ``most_languages`` at most; more are an error.
     """
-    rows = docs.filter("text is not null and lang is not null and doc_id is not null")
+    import pyarrow.compute as pc
+
+    rows = docs.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIM, np.int64), 0
@@ -169,27 +196,29 @@ def fit(docs: DataFrame, *, per_language: int = 400, clusters: int = 4, slack: f
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM)), pa.array(np.concatenate([[n], total]))], ["slot", "n"])
 
-    seen = dict(map(tuple, rows.select("text").mapInArrow(frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()))
+    seen = dict(map(tuple, map_batches(rows.select("text"), frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()))
     idf = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(i, 0) for i in range(DIM)]))) + 1
-    hashed = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)).alias("u")
-    # a row for each language, of which the model holds vectors
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    likely = rows.select("doc_id", "lang", hashed).join(F.broadcast(sizes), "lang").filter(F.col("u") * F.col("n") < 2 * per_language)
-    ids = likely.selectExpr("doc_id", "lang", "row_number() over (partition by lang order by u, doc_id) as k").filter(f"k <= {per_language}")
-    sample = rows.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # per_language ids for each language at most
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            for lo, hi in _parts(texts):
+                x, n = vectors(texts[lo:hi], idf)
+                some = np.flatnonzero(n)
+                part = texts[lo:hi].take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(some)), pa.array([x[i].astype("<f4").tobytes() for i in some], pa.binary()), pa.array(n[some]), pc.utf8_slice_codeunits(part, 0, CUTS[-1])], ["lang", "x", "n", "begin"])
 
     def centroids(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        texts = table.column("text").combine_chunks().cast(pa.string())
-        x = np.concatenate([v[n > 0] for v, n in (vectors(texts[lo:hi], idf) for lo, hi in _parts(texts))])
-        found: list[tuple] = []
-        if len(x):
-            c, own = _cluster(x, clusters)
-            c = c[[i for i in range(len(c)) if (own == i).any()]]
-            grams, floors = _floors(texts, idf, c, slack)
-            found = [(v.astype("<f4").tobytes(), grams.tolist(), floors.tolist()) for v in c]
+        table = table.sort_by([("x", "ascending"), ("begin", "ascending")]).combine_chunks()
+        x, n = np.frombuffer(b"".join(table.column("x").to_pylist()), "<f4").reshape(-1, DIM), table.column("n").to_numpy()
+        c, own = _cluster(x, clusters)
+        c = c[[i for i in range(len(c)) if (own == i).any()]]
+        grams, floors = _floors(x, n, table.column("begin").combine_chunks(), idf, c, slack)
+        found = [(v.astype("<f4").tobytes(), grams.tolist(), floors.tolist()) for v in c]
         types = {"centroid": pa.binary(), "grams": pa.list_(pa.float64()), "floors": pa.list_(pa.float64())}
         return pa.table({"lang": pa.array([key[0].as_py()] * len(found), pa.string())} | {k: pa.array([f[i] for f in found], t) for i, (k, t) in enumerate(types.items())})
 
+    sample = map_batches(sampled(rows, per_language, most_languages, seed).select("lang", "text"), encoded, "lang string, x binary, n long, begin string")
     learned = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, grams array<double>, floors array<double>").collect()
     learned = sorted(learned, key=lambda r: (r[0], bytes(r[1])))
     tables = [np.array([r[i] for r in learned], float).reshape(-1, len(CUTS) + 1) for i in (2, 3)]
@@ -209,7 +238,7 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(languages, pa.string()), pa.array(cosine), pa.array(rejected)], [*columns, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return keep.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return map_batches(keep, run, f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

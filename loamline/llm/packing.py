@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.encoding import encoder, slices
-from loamline.shared import cut
+from loamline.shared import cut, map_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, bin long, offset long, open boolean"
 _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = 4096,
             yield table([(*r[:8], True, *r[9:]) for rows in waiting.values() for r in rows])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = cut(rows.mapInArrow(place, schema))
+    placed = cut(map_batches(rows, place, schema))
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     own = F.shiftleft("task", 32) + F.col("bin")
     closed = placed.filter("not open").select(*kept, own.alias("sequence_id"), "offset")
@@ -134,4 +134,4 @@ def regroup(bins: DataFrame, capacity: int, open_bins: int, tasks_a_group: int)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["_own", "sequence_id", "shift"])
 
     grouped = bins.select(F.expr(f"task div {tasks_a_group}").alias("g"), "_own", "used").repartition("g")
-    return grouped.mapInArrow(again, "_own long, sequence_id long, shift long")
+    return map_batches(grouped, again, "_own long, sequence_id long, shift long")

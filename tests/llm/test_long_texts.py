@@ -55,8 +55,9 @@ def test_toxicity(monkeypatch):
     assert np.allclose(m.score(a), want)
 
 
-def test_language(monkeypatch):
-    t = ["ab cd " * 300, "x"]
-    want = langid.counts(pa.array(t))
-    monkeypatch.setattr(langid, "LONG_CHARS", 600)
-    assert np.abs(langid.counts(pa.array(t)) - want).sum() <= 20
+@pytest.mark.parametrize("size", [2, 3, 5, 7, 64, 600])
+def test_language(monkeypatch, size):
+    a = pa.array(["ab cd " * 300, "x", "abcdefghij" * 20, None, "", "..a..", *texts()])
+    want = langid.counts(a)
+    monkeypatch.setattr(langid, "PART_CHARS", size)
+    assert (langid.counts(a) == want).all()

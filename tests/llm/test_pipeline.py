@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from test_near_copies import slow_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loamline.llm import langid, quality, simhash
+from loamline.llm import langid, quality
 from loamline.llm.words import fold_of
 
 SF = "/root/testdata/sf0.001"
@@ -36,15 +36,8 @@ def test_stages(spark, documents, labels):
     docs = got
     got = stages["SimHash near-dedup"](spark, docs, SF)
     rows = docs.collect()
-    fps = np.array([simhash.fingerprint((r.text or "").encode()) for r in rows], np.uint64)
-    label = np.array([r.doc_id for r in rows])
-    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 2
-    while True:
-        new = np.array([label[n].min() for n in near])
-        if (new == label).all():
-            break
-        label = new
-    assert got.columns == docs.columns and ids(got) == sorted(set(label.tolist()))
+    label = slow_components({r.doc_id: r.text for r in rows})  # five-word shingles, similarity 0.8 or more, all pairs
+    assert got.columns == docs.columns and ids(got) == sorted(set(label.values()))
     docs = got
     got = stages["mixing sources to target weights"](spark, docs, SF)
     assert got.columns == docs.columns and set(ids(got)) == set(ids(docs))
