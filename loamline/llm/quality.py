@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from loamline.llm.encoding import slices
 from loamline.llm.words import _SPACE, LONG, fold_of, keep_where, labelled_sample, one_of_each, parts_of, raw_bytes, words_of
+from loamline.shared import map_batches
 
 PASSAGE = 64
 #: Kinds of bytes: lower, upper, digit, space, line end, stop or comma, ! or ?, bar, other symbols, brackets and quotes, other, beyond ASCII.
@@ -185,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: F.Column, *, bound: int = 3000
                 x, first = features(batch.column(2)[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["doc_id", "label", "x"])
 
-    encoded = sample.mapInArrow(bags, "doc_id long, label int, x binary")
+    encoded = map_batches(sample, bags, "doc_id long, label int, x binary")
     table = one_of_each(encoded, "x", F.length("x") / (4 * FEATURES), most_passages).select("x", "label").toArrow()
     found = sorted(zip(table.column("x").to_pylist(), table.column("label").to_pylist()))  # in one order, however the rows were dealt
     x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b, _ in found]
@@ -205,7 +206,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got)], [*columns, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{fields}, score double")
+    return map_batches(docs.select(*columns, F.col(text_col).cast("string").alias("__text")), run, f"{fields}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

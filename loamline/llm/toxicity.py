@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from loamline.llm.encoding import slices
 from loamline.llm.words import LONG, fold_of, labelled_sample, one_of_each, parts_of, raw_bytes, words_of
+from loamline.shared import map_batches
 
 #: Neutral names of groups, a list for each kind; a term is swapped within its list.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: F.Column, *, bound: int = 6000
                 got = [b" ".join(w for w in sorted(c) for _ in range(min(2, c[w]))) for c in times]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(got, pa.binary())], ["doc_id", "label", "words"])
 
-    encoded = sample.mapInArrow(bags, "doc_id long, label int, words binary")
+    encoded = map_batches(sample, bags, "doc_id long, label int, words binary")
     table = one_of_each(encoded, "words", F.length("words"), most_bytes).select("words", "label").toArrow().sort_by([("words", "ascending"), ("label", "ascending")])
     return train([b.decode("utf-8", "replace").split(" ") for b in table.column("words").to_pylist()], np.array(table.column("label").to_pylist(), float))
 
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*columns, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{fields}, score double")
+    return map_batches(docs.select(*columns, F.col(text_col).cast("string").alias("__text")), run, f"{fields}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, parts: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:

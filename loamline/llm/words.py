@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.shared import cut
+from loamline.shared import cut, map_batches
 
 #: Longer texts are worked on in parts, so that memory doesn't grow with the length of a text.
 LONG = 4_000_000
@@ -91,4 +91,4 @@ def keep_where(docs: DataFrame, decide: Callable[[pa.Array], np.ndarray], text_c
             mask = pa.array(decide(batch.column(at).cast(pa.string())), pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
