@@ -5,7 +5,10 @@ Draws are keyed by hashes (seed, row, step), so results do not depend on partiti
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,7 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SENTENCE_ENDS = ("\n\n", ". ", "! ", "? ")
+from loamline.shared import map_batches
+
+#: Where a sentence or paragraph ends; what overlaps counts too.
+_SENTENCE_END = re.compile(r"(?=\n\n|[.!?] )")
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def unit(*parts: object) -> float:
@@ -22,20 +29,33 @@ def unit(*parts: object) -> float:
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 16**13
 
 
+def draws(n: int, kinds: int, *key: object) -> np.ndarray:
+    """``n`` rows of ``kinds`` draws in [0, 1), by a mixing function of 64 bits over a counter that starts at a hash of the key."""
+    start = np.uint64(int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:16], 16))
+    x = start + np.arange(1, n * kinds + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).reshape(n, kinds) / 2.0**53
+
+
 def split_at_boundaries(text: str, most: int) -> list[str]:
-    """Chunks of ``most`` characters at most, cut behind a sentence or paragraph, else at a space, in the back half; else hard."""
-    text = re.sub(r"\n{3,}", "\n\n", text.strip())
-    out, start = [], 0
-    while start < len(text):
-        stop = min(len(text), start + most)
-        if stop < len(text):
-            ends = [text.rfind(e, start, stop) for e in SENTENCE_ENDS]
-            best, gap = max(ends) - start, text.rfind(" ", start, stop) - start
-            stop = start + best + 1 if best >= most // 2 else start + gap if gap >= most // 2 else stop
-        if piece := text[start:stop].strip():
-            out.append(piece)
-        start = stop
-    return out
+    """Chunks of ``most`` characters at most, cut behind a sentence or paragraph, else at a space, in the back half; else hard.
+
+    Cuts come from two sorted lists of positions, made in one pass each.
+    """
+    text = re.sub("\n\n\n+", "\n\n", text).strip()
+    sentences, spaces = [m.start() + 1 for m in _SENTENCE_END.finditer(text)], [m.start() for m in re.finditer(" ", text)]
+    edges = [0]
+
+    def last(cuts: list[int], least: int, under: int) -> int | None:
+        k = bisect.bisect_left(cuts, under)
+        return cuts[k - 1] if k and cuts[k - 1] >= least else None
+
+    while len(text) > edges[-1] + most:
+        middle, limit = edges[-1] + max(1, most // 2), edges[-1] + most
+        edges.append(last(sentences, middle + 1, limit) or last(spaces, middle, limit) or limit)
+    stripped = (text[a:b].strip() for a, b in itertools.pairwise([*edges, len(text)]))
+    return [piece for piece in stripped if piece]
 
 
 def trim_to_sentence(text: str, most: int) -> str:
@@ -51,26 +71,24 @@ def trim_to_sentence(text: str, most: int) -> str:
 
 
 def corrupt_words(text: str, key: object, rate: float = 0.1) -> str:
-    """Each word is, at ``rate``, swapped with the next, deleted, replaced by or followed by another word of the text; under four words unchanged."""
+    """Words are, at ``rate``, swapped with the next, deleted, replaced by or followed by another word of the text (of three characters or more); under four words unchanged.
+
+    All draws are made at once; only the words that are hit are visited.
+    """
     words = text.split()
     if len(words) < 4:
         return text
-    out, i = [], 0
-    while i < len(words):
-        if unit(key, i, "hit") >= rate:
-            out.append(words[i])
+    u = draws(len(words), 3, key)
+    others, parts, free = [w for w in words if len(w) > 2] or words, [[w] for w in words], 0
+    for i in np.flatnonzero(u[:, 0] < rate).tolist():
+        if i < free:  # swapped already
+            continue
+        change, other = ("swap", "delete", "replace", "add")[int(4 * u[i, 1])], others[int(u[i, 2] * len(others))]
+        if change == "swap" and i + 1 < len(words):
+            parts[i], parts[i + 1], free = parts[i + 1], parts[i], i + 2
         else:
-            other = words[int(unit(key, i, "word") * len(words))]
-            kind = int(unit(key, i, "kind") * 4)
-            if kind == 0 and i + 1 < len(words):
-                out += [words[i + 1], words[i]]
-                i += 1
-            elif kind == 2:
-                out.append(other)
-            elif kind == 3 or kind == 0:
-                out += [words[i], other]
-        i += 1
-    return " ".join(out)
+            parts[i] = {"delete": [], "replace": [other]}.get(change, [words[i], other])
+    return " ".join(w for p in parts for w in p)
 
 
 def mask_spans(text: str, key: object, rate: float = 0.15, longest: int = 8) -> tuple[str, list[str]]:
@@ -78,14 +96,14 @@ def mask_spans(text: str, key: object, rate: float = 0.15, longest: int = 8) ->
     spans = [m.span() for m in re.finditer(r"\S+", text)]
     if len(spans) < 8:
         return text, []
-    budget, taken, drawn = max(1, int(len(spans) * rate)), set(), []
-    for step in range(4 * len(spans)):
+    budget, taken, drawn = max(1, round(len(spans) * rate)), np.zeros(len(spans) + 2, bool), []
+    for size, place in draws(4 * len(spans), 2, key).tolist():
         if budget <= 0:
             break
-        n = min(budget, 1 + int(unit(key, step, "n") * longest))
-        at = int(unit(key, step, "at") * (len(spans) - n + 1))
-        if taken.isdisjoint(range(at - 1, at + n + 1)):
-            taken.update(range(at, at + n))
+        n = min(budget, 1 + int(size * longest))
+        at = int(place * (len(spans) - n + 1))
+        if not taken[at : at + n + 2].any():  # nor next to another
+            taken[at + 1 : at + n + 1] = True
             drawn.append((at, n))
             budget -= n
     hidden = [text[spans[at][0] : spans[at + n - 1][1]] for at, n in drawn]
@@ -131,7 +149,7 @@ def each_text(df: DataFrame, key: str, text: str, make: Callable[[object, str],
                 keys, *rest = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *map(pa.array, rest)], [key, "idx", *names])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, idx long, {fields}")
+    return map_batches(df.select(key, text), run, f"{key} {kind}, idx long, {fields}")
 
 
 def goldfish_mask(labels: np.ndarray, inputs: np.ndarray, starts: np.ndarray, k: int, width: int, seed: int) -> np.ndarray:
@@ -218,13 +236,20 @@ def best_reference(df: DataFrame, key: str, candidate: str, references: str, sco
     return df.select(key, candidate, references).mapInArrow(run, f"{key} {kind}, score double, reference_idx long")
 
 
-def flatten_scores(value: object, path: tuple[str, ...] = ()) -> list[tuple[str, float]]:
-    """Numbers in nested objects under slash-joined, cleaned names; ``raw`` parts are left out."""
-    if isinstance(value, dict):
-        return [x for k, v in value.items() if k != "raw" for x in flatten_scores(v, (*path, re.sub(r"[^A-Za-z0-9_.-]+", "_", str(k))))]
-    if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or abs(value) == float("inf"):
-        return []
-    return [("/".join(path), float(value))]
+def named_numbers(tree: object, without: str = "raw") -> list[tuple[str, float]]:
+    """The finite numbers of nested objects in the order they stand there, each under its path of cleaned names; parts named ``without`` are left out."""
+    found, open_ = [], [("", tree)]
+    while open_:
+        path, value = open_.pop()
+        match value:
+            case dict():
+                inner = [(f"{path}/{re.sub(r'[^A-Za-z0-9_.-]+', '_', str(name))}", value[name]) for name in value if name != without]
+                open_ += reversed(inner)
+            case bool():
+                pass
+            case int() | float() if math.isfinite(value):
+                found.append((path[1:], float(value)))
+    return found
 
 
 def unique_names(names: Sequence[str], prefix: str = "tool_") -> list[str]:

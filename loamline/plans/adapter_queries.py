@@ -144,7 +144,7 @@ def nested_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = e.select(F.to_json(F.create_map(F.col("event_type"), F.create_map(F.lit("a b"), F.col("v")))).alias("json"), F.lit(1).alias("id"))
     import json
 
-    return S.each_text(j, "id", "json", lambda _, t: S.flatten_scores(json.loads(t)), "key string, value double").select("key", "value")
+    return S.each_text(j, "id", "json", lambda _, t: S.named_numbers(json.loads(t)), "key string, value double").select("key", "value")
 
 
 @query("select source, count(*) - count(distinct text) as duplicates, count(*) filter (n_chars < 200) as short, case when count(*) > count(distinct text) or count(*) filter (n_chars < 200) > 5 then 'ERROR' else 'OK' end as state from documents group by source")

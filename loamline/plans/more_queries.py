@@ -108,11 +108,11 @@ def lenient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.agg(F.count("*").alias("rows")).select("rows", F.lit(bad.first()[0]).cast("long").alias("bad_lines"))
 
 
-@query("select n_name as name, n_regionkey::varchar as region, row_number() over (order by n_name) - 1 as idx from nation where n_nationkey < 10")
+@query("select n_name as name, n_regionkey::varchar as region, row_number() over (order by n_name) - 1 as idx from nation")
 def joined_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects over several lines, one behind another."""
     path = fresh_path(spark, "objects")
-    n = table(spark, sf_dir, "nation").filter("n_nationkey < 10")
+    n = table(spark, sf_dir, "nation")
     lines = n.select("n_name", F.format_string('{"name": "%s",\n "region": "%d"}', "n_name", "n_regionkey").alias("j"))
     lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", "j"))), lambda r: r["j"]), "\n").alias("value")).write.text(path)
     return files.json_objects(spark, path).select(F.get_json_object("json", "$.name").alias("name"), F.get_json_object("json", "$.region").alias("region"), "idx")
@@ -209,10 +209,10 @@ def job_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.ready(spark.createDataFrame(rows, "job_id string, status string, deps array<string>, deps_mode string"))
 
 
-@query("select p_partkey, printf('gen %d', p_partkey) as generation from part where p_partkey < 40")
+@query("select p_partkey, printf('gen %d', p_partkey) as generation from part")
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generations from a client, a stand-in here."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 40").select("p_partkey", F.col("p_partkey").cast("string").alias("prompt"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("prompt"))
     return J.generate(p, lambda texts: [f"gen {t}" for t in texts]).drop("prompt")
 
 
@@ -234,8 +234,9 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, user_id from events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of each key within the watermark of a stream."""
-    s = E.deduplicated(E.read_events(spark, f"{sf_dir}/events.parquet"), "event_id", "36500 days")
+    """The first of each key within the watermark of a stream that brings every event twice."""
+    events = E.read_events(spark, f"{sf_dir}/events.parquet")
+    s = E.deduplicated(events.unionByName(E.read_events(spark, f"{sf_dir}/events.parquet")), "event_id", "36500 days")
     return E.run_to_end(s.select("event_id", "user_id"))
 
 
@@ -251,11 +252,11 @@ def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source", F.concat("source", F.lit("_v2")).alias("renamed"), F.contains(F.lower("text"), F.lit("the and")).alias("marked"))
 
 
-@query("select doc_id, lang from documents where doc_id % 3 = 0 union all select doc_id, upper(lang) from documents where doc_id % 2 = 0 and doc_id % 3 <> 0")
+@query("select doc_id, case when doc_id % 3 = 0 then lang else upper(lang) end as lang from documents")
 def base_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A union in which the base wins."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return C.union_base_wins(d.filter("doc_id % 3 = 0"), d.filter("doc_id % 2 = 0").withColumn("lang", F.upper("lang")), "doc_id")
+    return C.union_base_wins(d.filter("doc_id % 3 = 0"), d.withColumn("lang", F.upper("lang")), "doc_id")
 
 
 @query("select page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as title, length(regexp_replace(html, '<[^>]*>', '', 'g')) as n from pages")

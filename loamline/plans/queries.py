@@ -86,11 +86,11 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-with b as (select doc_id, substr(text, 1, 30) as t, n_chars from documents)
+with b as (select doc_id, translate(text, '{}', '[]') as t, n_chars from documents)
 select doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') as boxed, n_chars as integer, chr(cast(65 + doc_id % 4 as int)) as letter from b""")
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers parsed back out of text that holds them."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.substring("text", 1, 30).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.translate("text", "{}", "[]").alias("t"))
     letter = F.char(65 + F.col("doc_id") % 4)
     told = F.concat(F.lit("so \\boxed{7} no, \\boxed{"), F.col("t"), F.lit("} (A) then ("), letter, F.lit(")."))
     return d.select("doc_id", X.last_boxed(told).alias("boxed"), X.to_integer(F.format_string("$%s.0", F.col("n_chars"))).alias("integer"), X.choice_letter(told).alias("letter"))
@@ -287,7 +287,7 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.preference_pairs(table(spark, sf_dir, "conversations"))
 
 
-_IDS = rf"list_transform({WORDS.format('text')}[1:40], lambda w: cast(('0x' || substr(md5(w), 1, 6)) as bigint) % 5000)"
+_IDS = rf"list_transform({WORDS.format('text')}, lambda w: cast(('0x' || substr(md5(w), 1, 6)) as bigint) % 5000)"
 
 
 @query(f"""
@@ -295,8 +295,8 @@ with i as (select doc_id, {_IDS} as ids from documents), p as (select doc_id, id
 select doc_id, array_to_string(a || b[1:len(b) - 1], ',') as inputs, array_to_string(list_transform(range(9), lambda x: -100) || b, ',') as labels, len(a) + len(b) - 2 as last_position from p""")
 def prefix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training arrays whose labels cover the response alone."""
-    ids = F.transform(F.slice(X.words(F.col("text")), 1, 40), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % 5000)
-    d = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).filter(F.size("ids") >= 12).select("doc_id", F.slice("ids", 1, 10).alias("a"), F.slice("ids", 11, 40).alias("b"))
+    ids = F.transform(X.words(F.col("text")), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % 5000)
+    d = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).filter(F.size("ids") >= 12).select("doc_id", F.slice("ids", 1, 10).alias("a"), F.slice("ids", 11, 1 << 30).alias("b"))
     p = P.prefix_lm(F.col("a"), F.col("b"))
     joined = lambda c: F.array_join(c.cast("array<string>"), ",")
     return d.select("doc_id", joined(p["inputs"]).alias("inputs"), joined(p["labels"]).alias("labels"), F.array_max(p["positions"]).cast("long").alias("last_position"))
@@ -374,34 +374,34 @@ def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with a as (select user_id, avg(value) as v from events where event_id % 2 = 0 group by user_id), b as (select user_id, avg(value) as v from events where event_id % 3 = 0 group by user_id)
+with a as (select user_id, avg(value) as v from events where event_id % 2 = 0 group by user_id), b as (select user_id, avg(value) as v from events where event_id % 2 = 1 group by user_id)
 select user_id, round(a.v, 6) as before, round(b.v, 6) as after, case when b.user_id is null then 'missing' when a.user_id is null then 'new' when abs(a.v - b.v) > 5 then 'changed' else 'shared' end as state
 from a full join b using (user_id)""")
 def metric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two metric tables compared by key."""
     e = table(spark, sf_dir, "events")
-    by = lambda n: e.filter(F.col("event_id") % n == 0).groupBy("user_id").agg(F.avg("value").alias("v"))
-    out = C.key_difference(by(2), by(3), "user_id", "v", 5)
+    by = lambda side: e.filter(F.col("event_id") % 2 == side).groupBy("user_id").agg(F.avg("value").alias("v"))
+    out = C.key_difference(by(0), by(1), "user_id", "v", 5)
     return out.select("user_id", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "state")
 
 
 @query("""
-with m as (select user_id, event_type, value, 0 as priority, event_id from events where event_id % 2 = 0 union all select user_id, event_type, value * 2, 1, event_id from events where event_id % 5 = 0)
+with m as (select user_id, event_type, value, 0 as priority, event_id from events union all select user_id, event_type, value * 2, 1, event_id from events where event_id % 5 = 0)
 select user_id, event_type, round(arg_max(value, priority * 1000000000 + event_id), 9) as value from m group by user_id, event_type""")
 def metric_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later sources overwrite earlier ones by key."""
     e = table(spark, sf_dir, "events")
-    m = e.filter("event_id % 2 = 0").select("user_id", "event_type", "value", F.lit(0).alias("priority"), "event_id").unionByName(e.filter("event_id % 5 = 0").select("user_id", "event_type", (F.col("value") * 2).alias("value"), F.lit(1).alias("priority"), "event_id"))
+    m = e.select("user_id", "event_type", "value", F.lit(0).alias("priority"), "event_id").unionByName(e.filter("event_id % 5 = 0").select("user_id", "event_type", (F.col("value") * 2).alias("value"), F.lit(1).alias("priority"), "event_id"))
     return M.coalesce_rows(m, ["user_id", "event_type"], "value", ["priority", "event_id"]).select("user_id", "event_type", _nine(F.col("value")).alias("value"))
 
 
 @query("""
-with s as (select lang, string_agg(substr(text, 1, 40), chr(10) || chr(10) order by k) as shots from (select lang, text, row_number() over (partition by lang order by doc_id) as k from documents where doc_id % 10 = 0) where k <= 3 group by lang)
-select doc_id, lang, shots from documents left join s using (lang) where doc_id % 10 = 1""")
+with s as (select lang, string_agg(text, chr(10) || chr(10) order by k) as shots from (select lang, text, row_number() over (partition by lang order by doc_id) as k from documents) where k <= 3 group by lang)
+select doc_id, lang, shots from documents left join s using (lang)""")
 def few_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first texts of a subject in front of its questions."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 40).alias("head"))
-    return C.shots(d.filter("doc_id % 10 = 0"), d.filter("doc_id % 10 = 1").select("doc_id", "lang"), "lang", "doc_id", "head", 3)
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return C.shots(d, d.select("doc_id", "lang"), "lang", "doc_id", "text", 3)
 
 
 @query(f"select doc_id from documents where {UNIT.format(chr(39) + '5|' + chr(39) + ' || doc_id')} / 4503599627370496.0 < 0.3")
@@ -417,11 +417,11 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", H.shard_of(F.col("doc_id").cast("string"), 7).alias("shard"), (F.col("doc_id") % 4).alias("turn"), "order_key")
 
 
-@query("select o_orderkey, d.doc_id, d.lang from orders join documents d on d.doc_id = o_orderkey % 50 where o_orderkey < 2000")
+@query("select o_orderkey, d.doc_id, d.lang from orders join documents d on d.doc_id = o_orderkey % (select count(*) from documents)")
 def cyclic_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request i takes seed i mod n."""
-    seeds = table(spark, sf_dir, "documents").filter("doc_id < 50").select("doc_id", "lang")
-    return C.cyclic(table(spark, sf_dir, "orders").filter("o_orderkey < 2000").select("o_orderkey"), "o_orderkey", seeds, "doc_id", 50)
+    seeds = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return C.cyclic(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", seeds, "doc_id", seeds.count())
 
 
 @query("select source, lang, doc_id from (select *, row_number() over (partition by source, lang order by doc_id) as k from documents) where k <= 5")
@@ -556,14 +556,16 @@ def matthews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-with w as (select source, list_distinct({WORDS.format("text")}[1:30]) as a, list_distinct({WORDS.format("text")}[16:45]) as b from documents),
+with t as (select source, {WORDS.format("text")} as w from documents),
+w as (select source, list_distinct(w[1:2 * len(w) // 3]) as a, list_distinct(w[len(w) // 3 + 1:]) as b from t),
 c as (select source, len(list_intersect(a, b)) as tp, len(a) - len(list_intersect(a, b)) as fp, len(b) - len(list_intersect(a, b)) as fn from w),
 s as (select source, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, avg(case when fp + fn = 0 then 1.0 else 0.0 end) as exact from c group by source)
 select source, tp, fp, fn, round(tp / (tp + fp), 9) as precision, round(tp / (tp + fn), 9) as recall, round(2.0 * tp / (2 * tp + fp + fn), 9) as f1, round(exact, 9) as exact from s""")
 def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall over sets."""
     w = X.words(F.col("text"))
-    d = table(spark, sf_dir, "documents").select("source", F.slice(w, 1, 30).alias("a"), F.slice(w, 16, 30).alias("b"))
+    d = table(spark, sf_dir, "documents").select("source", w.alias("w"))
+    d = d.selectExpr("source", "slice(w, 1, 2 * size(w) div 3) as a", "slice(w, size(w) div 3 + 1, size(w)) as b")
     out = M.set_scores(d, ["source"], "a", "b")
     return out.select("source", "tp", "fp", "fn", *[_nine(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "exact")])
 
@@ -723,3 +725,34 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, arithmetic and grouped sums over a large table."""
     l = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.expr("timestamp_ntz '1998-09-02 00:00:00'"))
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("""
+select lang, source, grouping(lang) + 2 * grouping(source) as level, count(*) as n, count(distinct source) as sources, quantile_disc(n_chars, 0.5) as median
+from documents group by cube (lang, source)""")
+def cubed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by every combination of keys, with distinct counts and medians."""
+    d = table(spark, sf_dir, "documents").select("lang", "source", "n_chars", F.col("source").alias("s"))
+    level = F.grouping("lang").cast("long") + 2 * F.grouping("source").cast("long")
+    return d.cube("lang", "source").agg(level.alias("level"), F.count("*").alias("n"), F.count_distinct("s").alias("sources"), F.percentile_approx("n_chars", 0.5, 1_000_000).alias("median"))
+
+
+@query("""
+select lang, source, grouping(source) as level, sum(n_chars)::bigint as chars, approx_count_distinct(doc_id) between 0.8 * count(distinct doc_id) and 1.2 * count(distinct doc_id) + 2 as close
+from documents group by rollup (lang, source)""")
+def rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtotals along a hierarchy; approximate distinct counts, held against exact ones."""
+    d = table(spark, sf_dir, "documents").select("lang", "source", "n_chars", "doc_id")
+    out = d.rollup("lang", "source").agg(F.grouping("source").cast("long").alias("level"), F.sum("n_chars").alias("chars"), F.approx_count_distinct("doc_id", 0.02).alias("a"), F.count_distinct("doc_id").alias("e"))
+    return out.select("lang", "source", "level", "chars", F.col("a").between(0.8 * F.col("e"), 1.2 * F.col("e") + 2).alias("close"))
+
+
+@query("""
+with a as (select distinct lang, source, n_chars // 500 as size from documents where doc_id % 2 = 0), b as (select distinct lang, source, n_chars // 500 as size from documents where doc_id % 2 = 1)
+select *, 'both' as side from (select * from a intersect select * from b) union all select *, 'first' from (select * from a except select * from b) union all select *, 'second' from (select * from b except select * from a)""")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two tables share and what only one has."""
+    d = table(spark, sf_dir, "documents").selectExpr("lang", "source", "n_chars div 500 as size", "doc_id % 2 as half")
+    a, b = (d.filter(F.col("half") == i).drop("half") for i in (0, 1))
+    side = lambda df, name: df.withColumn("side", F.lit(name))
+    return side(a.intersect(b), "both").unionByName(side(a.subtract(b), "first")).unionByName(side(b.subtract(a), "second"))

@@ -213,7 +213,7 @@ def test_parsers():
     assert S.parse_calls("[get.it(a=1, b='x'), g()]") == [("get.it", '{"a": 1, "b": "x"}'), ("g", "{}")]
     assert S.parse_calls("nothing") == [] and S.parse_calls("[broken(") == []
     assert S.unique_names(["a b", "a_b", "9x", "", "a_b"]) == ["a_b", "a_b_2", "tool_9x", "unnamed", "a_b_3"]
-    assert S.flatten_scores({"a": {"b c": 1, "raw": {"x": 2}}, "d": True, "e": float("nan"), "f": 2.5}) == [("a/b_c", 1.0), ("f", 2.5)]
+    assert S.named_numbers({"a": {"b c": 1, "raw": {"x": 2}}, "d": True, "e": float("nan"), "f": 2.5}) == [("a/b_c", 1.0), ("f", 2.5)]
     assert S.front_matter("---\ntype: note\ntitle: \"T\"\n---\nbody") == ({"type": "note", "title": "T"}, "body") and S.front_matter("x") == ({}, "x")
     fenced = "# Parent\n## First\n```md\n## Not a concept\n```\n## Second\n"
     assert [h for h, _ in S.markdown_sections(fenced)] == ["First", "Second"]
