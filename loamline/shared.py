@@ -19,7 +19,7 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 #: Bytes of a batch on its way to a Python worker and the setting for them; a session that sets it keeps its own.
-BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, _BATCH = 3_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
