@@ -53,7 +53,7 @@ _ENTRY = 160
 class PieceEncoder:
     """Encode texts with a tokenizer file; ``keep`` bounds the bytes of the pieces remembered (two generations of so many)."""
 
-    def __init__(self, path: str, keep: int = 16 << 20):
+    def __init__(self, path: str, keep: int = 40 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
@@ -260,7 +260,7 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def slices(texts: pa.Array, size: int = 1_500_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 3_400_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many bytes at most, one row at least."""
     import pyarrow.compute as pc
 

@@ -121,11 +121,11 @@ def _ranged(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
             for lo, hi in slices(texts):
                 ids, edge = encoder(tokenizer).encode(texts[lo:hi])
                 ids = np.insert(ids, edge[1:], end_id)
-                ends = 4 * (edge + np.arange(len(edge)))
-                raw = ids.astype("<u4").tobytes()
-                wide = [raw[a:b] if (part := np.frombuffer(raw[a:b], "<u4")).max() > 0xFFFF else part.astype("<u2").tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())]
-                n_ids = np.diff(ends) // 4
-                yield pa.RecordBatch.from_arrays([pa.array(dealt[lo:hi]), own[lo:hi], h[lo:hi], pa.array(n_ids), pa.array(wide, pa.binary())], ["range", "doc_id", "h", "n", "ids"])
+                ends = edge + np.arange(len(edge))
+                wide = np.maximum.reduceat(ids, ends[:-1]) > 0xFFFF
+                raw, short = ids.astype("<u4"), ids.astype("<u2").tobytes()
+                told = [raw[a:b].tobytes() if w else short[2 * a : 2 * b] for a, b, w in zip(ends.tolist(), ends[1:].tolist(), wide.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(dealt[lo:hi]), own[lo:hi], h[lo:hi], pa.array(np.diff(ends)), pa.array(told, pa.binary())], ["range", "doc_id", "h", "n", "ids"])
 
     keyed = rows.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"), "text")
     return map_batches(keyed, encoded, "range long, doc_id long, h long, n long, ids binary").repartitionById(n, F.col("range").cast("int")).sortWithinPartitions("range", "doc_id", "h", "ids")
