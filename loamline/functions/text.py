@@ -64,6 +64,12 @@ def ngrams(w: Column, n: int) -> Column:
     return let(w, lambda a: F.when(F.size(a) >= n, grams(a)).otherwise(F.array().cast("array<string>")))
 
 
+def gram_hashes(w: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams of a word array, one for each place; different grams may share one."""
+    hashes = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.xxhash64(*[a[i + k] for k in range(n)]))
+    return let(w, lambda a: F.when(F.size(a) >= n, hashes(a)).otherwise(F.array().cast("array<bigint>")))
+
+
 def sentences(c: Column) -> Column:
     """Parts between sentence ends followed by white space; blank parts left out."""
     return F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.length(strip(s)) > 0)
@@ -126,6 +132,35 @@ def duration(seconds: Column) -> Column:
     return F.when(seconds.isNull(), "unknown").when(s >= 3600, long_).when(s >= 60, middle).otherwise(F.format_string("%ds", s))
 
 
+def byte_size(c: Column) -> Column:
+    """12.0 B, 1.5 KB ... up to TB; unknown without a value."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    out = F.when(c.isNull(), "unknown")
+    for i, u in enumerate(units):
+        text = F.format_string(f"%.1f {u}", F.bround(c / float(1024**i), 1))
+        out = out.when(c < 1024 ** (i + 1), text) if u != units[-1] else out.otherwise(text)
+    return out
+
+
+def percent(c: Column, missing: str = "—") -> Column:
+    """A share as 12.5%; a mark without a value."""
+    return F.when(c.isNull(), missing).otherwise(F.format_string("%.1f%%", F.bround(c * 100, 1)))
+
+
+def atom(c: Column) -> Column:
+    """``name(a,b=-1)``: runs of white space become one, none is left around brackets, commas and equals signs nor behind ``=-``."""
+    line = F.regexp_replace(F.trim(c), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(line, r"\s*([(),=])\s*", "$1"), r"=\s*-\s*", "=-")
+
+
+def status_atoms(c: Column, states: tuple[str, ...]) -> Column:
+    """``state: atom, atom ... state: ...`` as an array of ``(state, atom)``; text in front of the first state is left out."""
+    head = rf"\b({'|'.join(states)})\s*:"
+    parts = F.regexp_extract_all(c, F.lit(rf"(?s){head}.*?(?=\b(?:{'|'.join(states)})\s*:|\z)"), 0)
+    of = lambda p: F.regexp_extract_all(F.regexp_replace(p, rf"^{head}", ""), F.lit(r"[A-Za-z][A-Za-z0-9-]*(?:\s*\([^)]*\))?"), 0)
+    return F.flatten(F.transform(parts, lambda p: F.transform(of(p), lambda a: F.struct(F.regexp_extract(p, rf"^{head}", 1).alias("state"), atom(a).alias("atom")))))
+
+
 def retry_batch(batch: Column, attempt: Column) -> Column:
     """A batch size halved (rounded up) for each attempt, one at least."""
     return F.greatest(F.lit(1), F.ceil(batch / F.pow(F.lit(2.0), attempt))).cast("long")

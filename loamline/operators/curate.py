@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import hashing as H
+from loamline.functions import text as X
 from loamline.operators.running import running_sum
+from loamline.shared import small
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -48,13 +52,24 @@ def union_base_wins(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
 
 
 def union_or_fail(parts: list[DataFrame], key: str) -> DataFrame:
-    """All rows; a key in two parts is an error when it is met."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    n = F.count("*").over(Window.partitionBy(key))
-    checked = out.withColumn("_ok", F.assert_true(n == 1, F.concat(F.lit("key occurs twice: "), F.col(key).cast("string"))))
-    return checked.filter("_ok is null").drop("_ok")
+    """All rows; a key that occurs twice is an error, found by a count of keys before any row is given."""
+    out = reduce(DataFrame.unionByName, parts)
+    if twice := duplicate_ids(out.select(key), key).take(1):
+        raise ValueError(f"key occurs twice: {twice[0][0]}")
+    return out
+
+
+def union_alike(parts: list[tuple[DataFrame, dict]], key: str) -> DataFrame:
+    """``union_or_fail`` of parts that were made with the same tokenizer: what describes it must be equal."""
+    infos = [info for _, info in parts]
+    if any(info != infos[0] for info in infos):
+        raise ValueError("the parts were made with different tokenizers")
+    return union_or_fail([p for p, _ in parts], key)
+
+
+def clean_rows(df: DataFrame, bad: Column) -> DataFrame:
+    """Every distinct row once, without the bad ones; a row in which ``bad`` can't be told is kept."""
+    return df.dropDuplicates().filter(~F.coalesce(bad, F.lit(False)))
 
 
 def reorder(df: DataFrame, key: str, order: DataFrame, pos: str = "pos") -> DataFrame:
@@ -92,6 +107,15 @@ def gram_matches(left: DataFrame, left_key: str, right: DataFrame, right_key: st
     return a.join(b, "_g").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
 
 
+def text_matches(left: DataFrame, left_key: str, right: DataFrame, right_key: str, text: str, n: int) -> DataFrame:
+    """``gram_matches`` of texts, where ``right`` has few of the grams: rows of ``left`` without the hash of any of its grams never have their grams made."""
+    hashes = lambda df, key: df.select(key, F.explode(X.gram_hashes(X.words(F.col(text)), n)).alias("_h"))
+    known = small(hashes(right, right_key).select("_h").distinct(), 2_000_000)
+    near = hashes(left, left_key).join(known, "_h", "left_semi").select(left_key).distinct()
+    grams = lambda df: df.withColumn("grams", X.ngrams(X.words(F.col(text)), n))
+    return gram_matches(grams(left.join(near, left_key, "left_semi")), left_key, grams(right), right_key)
+
+
 def cap(df: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
     """The first rows of each group."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= most).drop("_k")
@@ -122,10 +146,11 @@ def budget_passes(df: DataFrame, by: list[str], order: list[str], length: str, t
 
 def evenly_spaced(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
     """``k`` rows of each group at round(i * last / (k - 1)), halves to even; all of a smaller group."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    sizes = small(df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("_n")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)])
+    rows = running_sum(df, by, order, F.lit(1), "_upto").join(sizes, same).withColumn("_i", F.col("_upto") - 1)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / float(max(1, k - 1))).cast("int"))
-    return rows.filter((F.col("_n") <= k) | F.array_contains(wanted, F.col("_i").cast("int"))).drop("_i", "_n")
+    return rows.filter((F.col("_n") <= k) | F.array_contains(wanted, F.col("_i").cast("int"))).select(*df.columns)
 
 
 def cyclic(requests: DataFrame, index: str, seeds: DataFrame, position: str, n: int) -> DataFrame:

@@ -84,12 +84,14 @@ def prefix_task(df: DataFrame, key: str, text: str, seed: int) -> DataFrame:
 
 def turn_windows(turns: DataFrame, *, budget: int, least: int, most: int, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """For each turn of ``least`` to ``most`` words, the longest run of turns that ends before it within ``budget`` words."""
-    sized = turns.withColumn("n", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
-    ends = sized.filter(F.col("n").between(least, most)).select(F.col(conv).alias("_c"), F.col(turn).alias("j"))
-    near = ends.join(sized.select(conv, F.col(turn).alias("k"), "n"), (F.col("_c") == F.col(conv)) & (F.col("k") < F.col("j")))
-    w = Window.partitionBy("_c", "j").orderBy(F.desc("k"))
-    fits = near.withColumn("total", F.sum("n").over(w)).filter(F.col("total") <= budget)
-    return fits.groupBy(F.col("_c").alias(conv), F.col("j").alias(turn)).agg(F.min("k").alias("first_turn"), F.count("*").alias("turns"), F.max("total").alias("words"))
+    w = Window.partitionBy(conv).orderBy(turn)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = turns.select(conv, turn, F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long").alias("n"))
+    placed = sized.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("_i", F.row_number().over(w))
+    within = Window.partitionBy(conv).orderBy("before").rangeBetween(-budget, Window.currentRow)
+    found = placed.withColumn("first", F.min(F.struct("_i", turn, "before")).over(within))
+    out = found.filter(F.col("n").between(least, most) & (F.col("first._i") < F.col("_i")))
+    return out.select(conv, turn, F.col(f"first.{turn}").alias("first_turn"), (F.col("_i") - F.col("first._i")).cast("long").alias("turns"), (F.col("before") - F.col("first.before")).alias("words"))
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import text as X
@@ -40,7 +40,10 @@ def word_overlap(a: Column, b: Column) -> Column:
 
 def acceptance(response: Column, *, preambles: tuple[str, ...] = (), leak_words: tuple[str, ...] = (), leak_limit: int = 8, max_chars: Column | None = None, sentences: Column | None = None, numbered: Column | None = None) -> Column:
     """The first rule that a generated text fails, or ``accepted``."""
-    t = X.clean_block(response)
+    return X.let(X.clean_block(response), lambda t: _first_failed(t, preambles, leak_words, leak_limit, max_chars, sentences, numbered))
+
+
+def _first_failed(t: Column, preambles: tuple[str, ...], leak_words: tuple[str, ...], leak_limit: int, max_chars: Column | None, sentences: Column | None, numbered: Column | None) -> Column:
     rule = F.when(F.length(t) == 0, "empty")
     if preambles:
         rule = rule.when(reduce(lambda a, b: a | b, [F.lower(t).startswith(p) for p in preambles]), "preamble")
@@ -113,4 +116,7 @@ def fit_context(df: DataFrame, instruction: str, response: str, context: int, le
 def issues(df: DataFrame, by: list[str], tests: dict[str, Column], examples: int = 20, order: str = "doc_id") -> DataFrame:
     """Named row-level issues: a count for each and the first ``examples`` rows."""
     flagged = df.select(*by, order, F.explode(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))).alias("issue"))
-    return flagged.groupBy(*by, "issue").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(order)), 1, examples).alias("examples"))
+    named = [F.coalesce(F.to_json(F.struct(*by)), F.lit("")).alias("_of"), "issue"]
+    first = flagged.select(*named, order).withColumn("_k", F.dense_rank().over(Window.partitionBy("_of", "issue").orderBy(order))).filter(F.col("_k") <= examples)
+    shown = first.groupBy("_of", "issue").agg(F.array_sort(F.collect_set(order)).alias("examples"))
+    return flagged.groupBy(*by, "issue").agg(F.count("*").alias("n")).select("*", named[0]).join(shown, ["_of", "issue"]).select(*by, "issue", "n", "examples")

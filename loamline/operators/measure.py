@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.operators.running import running_sum
+
 
 def accuracy(df: DataFrame, by: list[str], right: Column, invalid: Column) -> DataFrame:
     """n, accuracy, invalid rate and binomial standard error."""
@@ -175,7 +177,8 @@ def token_progress(df: DataFrame, by: str, keep: Column, tokens: str, target: Co
 
 def round_robin(df: DataFrame, weight: str, name: str, n: int) -> DataFrame:
     """Resources dealt in turn by falling weight: ``lane``."""
-    return df.withColumn("lane", (F.row_number().over(Window.orderBy(F.desc(weight), name)) - 1) % n)
+    placed = running_sum(df.withColumn("_light", -F.col(weight)), [], ["_light", name], F.lit(1), "_place")
+    return placed.withColumn("lane", (F.col("_place") - 1) % n).drop("_light", "_place")
 
 
 def lane_finish(seconds: list[float], busy: list[float], lanes: int) -> float:

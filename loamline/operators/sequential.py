@@ -252,6 +252,20 @@ def named_numbers(tree: object, without: str = "raw") -> list[tuple[str, float]]
     return found
 
 
+def replaced_values(tree: object, pairs: Sequence[tuple[str, str]]) -> object:
+    """The same tree with the replacements made in order in every text in it; names of fields stay."""
+    match tree:
+        case str():
+            for old, new in pairs:
+                tree = tree.replace(old, new)
+            return tree
+        case dict():
+            return dict(zip(tree, replaced_values([*tree.values()], pairs)))
+        case list():
+            return [replaced_values(x, pairs) for x in tree]
+    return tree
+
+
 def unique_names(names: Sequence[str], prefix: str = "tool_") -> list[str]:
     """Names of letters, digits, dot and dash; repeats get numbers that aren't taken."""
     out: list[str] = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import abc
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -124,6 +125,19 @@ def generate(prompts: DataFrame, client: Callable[[list[str]], list[str]], *, pr
     return prompts.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", generation string")
 
 
+@functools.lru_cache(4)
+def tokenizer(path: str):
+    """The tokenizer that a file describes, once for each worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text without special tokens; the file must be there on executors."""
+    return lambda text: tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
 def tokenised(rows: DataFrame, encode: Callable[[str], list[int]], render: Callable[[str, str], tuple[str, str]], least: int = 2) -> DataFrame:
     """Prompt and answer ids where the ids of the prompt begin those of the whole and ``least`` ids of an answer are left: ``inst_tokens, resp_tokens``."""
     key = rows.columns[0]

@@ -57,13 +57,6 @@ def multipack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.multipack(d, "shard", "doc_id", "n", lanes=2, capacity=8192)
 
 
-@query("select doc_id, 1.0::double as score, 1::bigint as reference_idx from documents where regexp_matches(text, '[A-Za-z0-9_]')")
-def best_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of several references."""
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike("[A-Za-z0-9_]")).select("doc_id", "text", F.array(F.lit("-"), "text", "text").alias("refs"))
-    return S.best_reference(d, "doc_id", "text", "refs")
-
-
 @query()
 def random_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A synthetic tokenised table, laid out for two epochs."""
@@ -227,7 +220,7 @@ def tokenised_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows over a stream."""
-    s = E.tumbling(E.read_events(spark, f"{sf_dir}/events.parquet"), "1 day", "1 hour")
+    s = E.windows(E.read_events(spark, f"{sf_dir}/events.parquet"), "1 day", "1 hour")
     out = E.run_to_end(s, "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
@@ -243,7 +236,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(event_type, (ts, event_id)) in ('view', 'click') as open from events where event_type in ('view', 'click', 'purchase') group by user_id")
 def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state that holds for each user after a stream."""
-    return E.run_to_end(E.last_states(E.read_events(spark, f"{sf_dir}/events.parquet"), ("view", "click"), ("purchase",)), "update")
+    return E.run_to_end(E.last_states(E.read_events(spark, f"{sf_dir}/events.parquet"), ("view", "click"), ("purchase",)), "update", ["user_id"])
 
 
 @query("select source, source || '_v2' as renamed, contains(lower(text), 'the and') as marked from documents")

@@ -166,10 +166,9 @@ m as (select doc_id, item_id, count(*) as shared from (select doc_id, unnest(g)
 select doc_id, item_id, shared, round(shared / greatest(1, len(b.g)), 9) as ratio from m join b using (item_id)""")
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share word 5-grams with benchmark items, by a join on the grams."""
-    grams = lambda df: df.withColumn("grams", X.ngrams(X.words(F.col("text")), 5))
-    b = grams(table(spark, sf_dir, "benchmark"))
-    m = C.gram_matches(grams(table(spark, sf_dir, "documents")), "doc_id", b, "item_id")
-    return m.join(b.select("item_id", F.size("grams").alias("n")), "item_id").select("doc_id", "item_id", "shared", _nine(F.col("shared") / F.greatest("n", F.lit(1))).alias("ratio"))
+    b = table(spark, sf_dir, "benchmark")
+    m = C.text_matches(table(spark, sf_dir, "documents"), "doc_id", b, "item_id", "text", 5)
+    return m.join(b.select("item_id", F.size(X.ngrams(X.words(F.col("text")), 5)).alias("n")), "item_id").select("doc_id", "item_id", "shared", _nine(F.col("shared") / F.greatest("n", F.lit(1))).alias("ratio"))
 
 
 @query("""

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
-from loamline.shared import fresh_path
+from loamline.operators.curate import last_wins
+from loamline.shared import cut, fresh_path
 
 
 def read_events(spark: SparkSession, path: str, files_a_trigger: int = 1000) -> DataFrame:
@@ -19,9 +21,9 @@ def read_events(spark: SparkSession, path: str, files_a_trigger: int = 1000) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
-    """Counts and sums by window and type; later events than the watermark are left out."""
-    g = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def windows(events: DataFrame, width: str, late: str, slide: str | None = None) -> DataFrame:
+    """Counts and sums by window (tumbling, or sliding by ``slide``) and type; later events than the watermark are left out."""
+    g = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
@@ -54,43 +56,57 @@ def last_states(events: DataFrame, opening: tuple[str, ...], closing: tuple[str,
     return events.select("user_id", "event_type", "ts", "event_id").groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_type string, open boolean", "event_type string, ts long, event_id long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there, through Parquet in the shared folder (append), or memory (other modes, small results)."""
-    spark = stream.sparkSession
+def _written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What lies under a path of ours; no rows before anything was written."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def run_to(stream: DataFrame, path: str, progress: str) -> DataFrame:
+    """Process what is there since the last run with this ``progress``, and append it to ``path``."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Process what is there, through Parquet in the shared folder.  ``complete`` gives the last result, ``update`` the last row of each of ``keys``."""
+    spark, out, progress = stream.sparkSession, fresh_path(stream.sparkSession, "stream"), fresh_path(stream.sparkSession, "progress")
     if mode == "append":
-        out = fresh_path(spark, "stream")
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
-    name = "s" + fresh_path(spark, "").rsplit("-", 1)[1]
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", fresh_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+        return run_to(stream, out, progress)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    found = _written(spark, out, StructType([*stream.schema, StructField("batch", LongType())]))
+    if mode == "update":
+        return last_wins(found, keys, "batch").drop("batch")
+    return found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch")
 
 
 def append_new(stream: DataFrame, key: str, path: str, progress: str) -> None:
     """Append rows whose key the output doesn't have yet; what is written again after a restart isn't doubled."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+        old = _written(batch.sparkSession, path, batch.schema)
+        batch.dropDuplicates([key]).join(old.select(key), key, "left_anti").write.mode("append").parquet(path)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
-def watch(status: DataFrame, done: Callable[[DataFrame], DataFrame], act: Callable[[DataFrame], None], progress: str, key: str) -> None:
-    """In each batch, act on the keys that have newly become complete."""
-    seen: set = set()
+def watch(status: DataFrame, done: Callable[[DataFrame], DataFrame], act: Callable[[DataFrame], None], progress: str, key: str, acted: str) -> None:
+    """In each batch, act on the rows of keys that have newly become complete; the folder ``acted`` keeps those keys over restarts.
+
+    A batch that failed between the action and the note of its keys is acted on again.
+    """
 
     def step(batch: DataFrame, _: int) -> None:
-        complete = done(batch).filter(~F.col(key).isin(list(seen))) if seen else done(batch)
-        now = [r[0] for r in complete.select(key).distinct().collect()]  # one for each dataset
-        if now:
-            act(batch.filter(F.col(key).isin(now)))
-            seen.update(now)
+        complete = done(batch).select(key).distinct()
+        now = cut(complete.join(_written(batch.sparkSession, acted, complete.schema), key, "left_anti"))
+        if not now.isEmpty():
+            act(batch.join(now, key, "left_semi"))
+            now.write.mode("append").parquet(acted)
 
     status.writeStream.foreachBatch(step).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()

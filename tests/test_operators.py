@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -341,3 +343,78 @@ def test_report_leaves_nothing_out(spark):
     assert sinks.report(spark.range(1000), "T").count("\n| ") == 1002
     with pytest.raises(ValueError):
         sinks.report(spark.range(1001), "T")
+
+
+def test_scores_against_plain_versions(spark):
+    import math
+    import random
+
+    from loamline.operators import scoring as G
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    draw = random.Random(5)
+    for _ in range(300):
+        a, b = ([draw.randrange(5) for _ in range(draw.randrange(30))] for _ in range(2))
+        assert G.common_subsequence(a, b) == longest(a, b)
+
+    pairs = [("the cat sat on the mat.", "the cat lay on a mat!"), ("one two", "two one"), ("", "x"), (None, None), ("Ä b", "ä b")]
+    df = spark.createDataFrame([(1, i, c, r) for i, (c, r) in enumerate(pairs)], "g int, i int, c string, r string")
+    per = values(G.scored(df, ["i"], "c", "r").orderBy("i"), "rouge1", "rouge2", "rouge_l")
+    assert per[0] == (2 * 4 / 12, 2 * 1 / 10, 2 * 4 / 12) and per[1] == (1.0, 0.0, 0.5) and per[2] == per[3] == (0.0, 0.0, 0.0) and per[4] == (1.0, 1.0, 1.0)
+    got = G.corpus_scores(G.scored(df, ["g"], "c", "r"), ["g"]).first()
+
+    def plain(beta, orders):
+        p, r = [], []
+        for n, of in orders:
+            made = [[[tuple(of(t or "")[i : i + n]) for i in range(len(of(t or "")) - n + 1)] for t in pair] for pair in pairs]
+            shared = sum(min(c.count(g), r.count(g)) for c, r in made for g in set(c))
+            sizes = [sum(len(x[side]) for x in made) for side in (0, 1)]
+            if all(sizes):
+                p.append(shared / sizes[0])
+                r.append(shared / sizes[1])
+        p, r = sum(p) / len(p), sum(r) / len(r)
+        return 100 * (1 + beta**2) * p * r / (beta**2 * p + r)
+
+    chars, tokens = (lambda t: [*"".join(t.split())]), (lambda t: re.findall(r"\w+|[^\w\s]", t))
+    assert math.isclose(got.chrf, plain(3, [(n, chars) for n in range(1, 7)]))
+    assert math.isclose(got.chrf_pp, plain(3, [(n, chars) for n in range(1, 7)] + [(1, tokens), (2, tokens)]))
+    same = G.corpus_scores(G.scored(df.filter("i = 0").withColumn("r", F.col("c")), ["g"], "c", "r"), ["g"]).first()
+    assert all(math.isclose(same[k], 100) for k in ("bleu", "chrf", "chrf_pp"))
+    none = G.corpus_scores(G.scored(df.filter("i = 2"), ["g"], "c", "r"), ["g"]).first()
+    assert (none.bleu, none.chrf, none.rouge_l) == (0.0, 0.0, 0.0)
+
+
+def test_trees_of_one_tokenizer(spark):
+    a, b = (spark.createDataFrame(x, "k int") for x in ([(1,)], [(2,)]))
+    assert C.union_alike([(a, {"v": 1}), (b, {"v": 1})], "k").count() == 2
+    with pytest.raises(ValueError, match="different tokenizers"):
+        C.union_alike([(a, {"v": 1}), (b, {"v": 2})], "k")
+    with pytest.raises(ValueError, match="key occurs twice"):
+        C.union_alike([(a, {}), (a, {})], "k")
+
+
+def test_ids_of_a_tokenizer(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "ask\n", "an answer of words"), (2, "ask\n", ""), (3, "ask\n", "a")]
+    got = dict(values(J.tokenised(spark.createDataFrame(rows, "id int, instruction string, response string"), J.encoder(path), lambda i, r: (i, i + r)), "id", "resp_tokens"))
+    whole = J.encoder(path)("ask\nan answer of words")
+    assert got[1] == whole[len(J.encoder(path)("ask\n")) :] and 2 not in got
+
+
+def test_words_and_windows_by_hand(spark):
+    turns = [("c", i, " ".join(["w"] * n)) for i, n in enumerate([3, 0, 2, 4, 0, 1])]
+    got = sorted(values(P.turn_windows(spark.createDataFrame(turns, "conv_id string, turn int, text string"), budget=6, least=1, most=9), "turn", "first_turn", "turns", "words"))
+    assert got == [(2, 0, 2, 3), (3, 0, 3, 5), (5, 1, 4, 6)]
+    assert S.replaced_values({"a": ["a", 1, {"b": "ab"}]}, [("a", "b"), ("b", "c")]) == {"a": ["c", 1, {"b": "cc"}]}
+    empty = spark.createDataFrame([], "k int, text string")
+    assert C.text_matches(empty, "k", empty.withColumnRenamed("k", "j"), "j", "text", 3).count() == 0

@@ -9,11 +9,11 @@ import pandas as pd
 import pytest
 
 from loamline.plans import queries as own
-from loamline.plans import adapter_queries, history_queries, more_queries
+from loamline.plans import adapter_queries, history_queries, more_queries, text_queries
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**own.QUERIES, **more_queries.QUERIES, **adapter_queries.QUERIES, **history_queries.QUERIES}
-SQL = {**own.SQL, **more_queries.SQL, **adapter_queries.SQL, **history_queries.SQL}
+QUERIES = {**own.QUERIES, **more_queries.QUERIES, **adapter_queries.QUERIES, **history_queries.QUERIES, **text_queries.QUERIES}
+SQL = {**own.SQL, **more_queries.SQL, **adapter_queries.SQL, **history_queries.SQL, **text_queries.SQL}
 
 
 @pytest.fixture(scope="module")
