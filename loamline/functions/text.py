@@ -10,7 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = r"(?U)\s+"
+#: Unicode's white space.
+WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: What becomes one space; a space that stands alone is left, for replacing each one is slow.
+SPACES = r"(?U)\s{2,}|[^\S ]"
+BLANKS = r"[ \t]{2,}|\t"
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -21,7 +25,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean_line(c: Column, max_chars: int | None = None) -> Column:
@@ -34,13 +38,13 @@ def clean_line(c: Column, max_chars: int | None = None) -> Column:
 
 def clean_block(c: Column) -> Column:
     """Lines kept: NUL and blanks become single spaces, three or more line ends two."""
-    blanks = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\0", " "), "[ \t]+", " ")
+    blanks = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\0", " "), BLANKS, " ")
     return strip(F.regexp_replace(blanks, "\n{3,}", "\n\n"))
 
 
 def clean_blanks(c: Column) -> Column:
     """Runs of blanks become a space; line ends stay."""
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), "[ \t]+", " "))
+    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), BLANKS, " "))
 
 
 def drop_end_mark(c: Column, mark: str = "<|endoftext|>") -> Column:

@@ -102,14 +102,15 @@ def shots(dev: DataFrame, target: DataFrame, subject: str, order: str, text: str
 
 def gram_matches(left: DataFrame, left_key: str, right: DataFrame, right_key: str, grams: str = "grams") -> DataFrame:
     """Pairs that share n-grams, and how many, by an equi-join on the grams; each side has an array of distinct ones."""
-    a = left.select(left_key, F.explode(grams).alias("_g"))
-    b = right.select(right_key, F.explode(grams).alias("_g"))
+    # explode_outer: in front of explode a filter is put that computes the array again, twice; the join drops nulls
+    a = left.select(left_key, F.explode_outer(grams).alias("_g"))
+    b = right.select(right_key, F.explode_outer(grams).alias("_g"))
     return a.join(b, "_g").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
 
 
 def text_matches(left: DataFrame, left_key: str, right: DataFrame, right_key: str, text: str, n: int) -> DataFrame:
     """``gram_matches`` of texts, where ``right`` has few of the grams: rows of ``left`` without the hash of any of its grams never have their grams made."""
-    hashes = lambda df, key: df.select(key, F.explode(X.gram_hashes(X.words(F.col(text)), n)).alias("_h"))
+    hashes = lambda df, key: df.select(key, F.explode_outer(X.gram_hashes(X.words(F.col(text)), n)).alias("_h"))
     known = small(hashes(right, right_key).select("_h").distinct(), 2_000_000)
     near = hashes(left, left_key).join(known, "_h", "left_semi").select(left_key).distinct()
     grams = lambda df: df.withColumn("grams", X.ngrams(X.words(F.col(text)), n))

@@ -418,3 +418,16 @@ def test_words_and_windows_by_hand(spark):
     assert S.replaced_values({"a": ["a", 1, {"b": "ab"}]}, [("a", "b"), ("b", "c")]) == {"a": ["c", 1, {"b": "cc"}]}
     empty = spark.createDataFrame([], "k int, text string")
     assert C.text_matches(empty, "k", empty.withColumnRenamed("k", "j"), "j", "text", 3).count() == 0
+
+
+def test_white_space_as_the_pattern_has_it(spark):
+    import random
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("ab \t\n\x0b\x85\xa0  ​ 　\x1c") for _ in range(draw.randrange(12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    line = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ +| +$", "")
+    blanks = F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), r"(?U)^\s+|\s+$", "")
+    assert df.filter((X.strip(t) != plain) | (X.clean_line(t) != line) | (X.clean_blanks(t) != blanks)).count() == 0
