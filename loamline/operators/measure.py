@@ -192,6 +192,14 @@ def lane_finish(seconds: list[float], busy: list[float], lanes: int) -> float:
     return max(loads)
 
 
+def lane_finishes(jobs: DataFrame, by: list[str], order: str, seconds: str, busy: list[float], lanes: int) -> DataFrame:
+    """``lane_finish`` of each queue, whose jobs go in ``order``: ``n, finish``.  A queue is one row, for each job waits for the ones before it."""
+    start = F.array(*[F.lit(float(x)) for x in sorted([*sorted(busy)[:lanes], *[0.0] * max(0, lanes - len(busy))])])
+    queue = F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(seconds).cast("double"), F.lit(0.0)).alias("s"))))
+    placed = lambda loads, job: F.array_sort(F.concat(F.array(loads[0] + job["s"]), F.slice(loads, 2, lanes)))
+    return jobs.groupBy(*by).agg(F.count("*").alias("n"), F.array_max(F.aggregate(queue, start, placed)).alias("finish"))
+
+
 def failures(df: DataFrame, by: list[str], bucket: Column, example: str) -> DataFrame:
     """Count and first example of each bucket."""
     return df.groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min(example).alias("example"))

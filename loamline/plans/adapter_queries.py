@@ -114,12 +114,18 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.templated(table(spark, sf_dir, "documents"), ["Read: {text}", "{text}?"], 3, "doc_id", "source")
 
 
-@query("select * from (values ('a/x.md', 'not listed'), ('a/y.md', 'unknown type'), ('b', 'no index'), ('b/z.md', 'too large'), ('a/index.md', 'dead link')) t(path, issue)")
+@query("""
+with d as (select doc_id, source, source || '/d' || doc_id || '.md' as path, lang, n_chars from documents), f as (select distinct source from d)
+select path, 'unknown type' as issue from d where lang not in ('en', 'de') union all select path, 'too large' from d where n_chars >= 900 union all select source, 'no index' from f where source in ('src1', 'src4')
+union all select path, 'not listed' from d where source not in ('src1', 'src4') and doc_id % 3 = 0 union all select source || '/index.md', 'dead link' from f where source not in ('src1', 'src4')""")
 def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of a bundle of documents."""
-    docs = spark.createDataFrame([("a/index.md", None, 10), ("a/x.md", "note", 10), ("a/y.md", None, 10), ("b/z.md", "note", 60000)], "path string, kind string, size int")
-    links = spark.createDataFrame([("a/index.md", "a/y.md"), ("a/index.md", "a/gone.md")], "source string, target string")
-    return A.document_issues(docs, links, kinds=("note",))
+    """Rules of a bundle of documents in folders, two of them without index."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat("source", F.lit("/d"), "doc_id", F.lit(".md")).alias("path"), F.col("lang").alias("kind"), F.col("n_chars").alias("size"))
+    listed = d.filter(~F.col("source").isin("src1", "src4")).withColumn("index", F.concat("source", F.lit("/index.md")))
+    index = listed.select("index").distinct()
+    docs = d.select("path", "kind", "size").unionByName(index.select(F.col("index").alias("path"), F.lit(None).cast("string").alias("kind"), F.lit(10).alias("size")))
+    links = listed.filter("doc_id % 3 <> 0").select(F.col("index").alias("source"), F.col("path").alias("target")).unionByName(index.select(F.col("index").alias("source"), F.replace("index", F.lit("index"), F.lit("gone")).alias("target")))
+    return A.document_issues(docs, links, kinds=("en", "de"), most_bytes=900)
 
 
 @query("select user_id % 5 as family, user_id as epoch, event_type as task, arg_max(event_id, (value, ts, event_id)) as path from events where value > 5 and event_id % 7 <> 0 group by 1, 2, 3")
@@ -129,12 +135,24 @@ def best_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.archive_choice(e)
 
 
-@query("select * from (values ('get_it', '{\"a\": 1}'), ('f', '{}')) t(name, arguments)")
+@query("""
+with k as (select event_id, event_id % 4 as dialect, event_type, user_id from events)
+select event_id, 0::bigint as idx, 'get_' || event_type as name, '{"k": ' || user_id || '}' as arguments from k where dialect = 0
+union all select event_id, 0, 'run.' || event_type, '{"a": ' || user_id || ', "b": "x, y"}' from k where dialect = 1 union all select event_id, 1, 'run.' || event_type || '_2', '{}' from k where dialect = 1
+union all select event_id, 0, 'tool_' || user_id || '_' || event_type, '{"value": "plain"}' from k where dialect = 2""")
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of tools in several dialects, with names that can be used."""
-    texts = spark.createDataFrame([(1, '{"name": "get it", "arguments": {"a": 1}}'), (2, "[f()]")], "id int, text string")
-    calls = S.each_text(texts, "id", "text", lambda _, t: [(S.unique_names([n])[0], a) for n, a in S.parse_calls(t)], "name string, arguments string")
-    return calls.select("name", "arguments")
+    """Calls of tools in several dialects, with names that can be used; prose has none."""
+    kind = F.col("event_id") % 4
+    as_object = F.format_string('So be it: {"name": "get %s", "arguments": {"k": %d}}', "event_type", "user_id")
+    as_python = F.format_string("[run.%s(b='x, y', a=%d), run.%s()]", "event_type", "user_id", "event_type")
+    as_text = F.format_string('{"name": "%d %s", "parameters": "plain"}', "user_id", "event_type")
+    text = F.when(kind == 0, as_object).when(kind == 1, as_python).when(kind == 2, as_text).otherwise(F.concat(F.lit("no call of "), "event_type"))
+
+    def calls(_, t):
+        found = S.parse_calls(t)
+        return list(zip(S.unique_names([n for n, _ in found]), (a for _, a in found)))
+
+    return S.each_text(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "event_id", "text", calls, "name string, arguments string")
 
 
 @query("select event_type || '/a_b' as key, value from (select event_type, round(avg(value), 6) as value from events group by 1)")
@@ -168,10 +186,14 @@ def shard_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", J.shard_total(F.col("p_partkey"), F.lit(0), F.lit(4)).alias("own"), F.round(J.eta(F.col("p_size"), F.lit(60.0), 100 - F.col("p_size")), 6).alias("eta"))
 
 
-@query("select 8.0::double as finish")
+@query("""
+with recursive q as (select p_brand as brand, p_size::double as s, row_number() over (partition by p_brand order by p_partkey) as i from part),
+lanes as (select distinct brand, 0::bigint as i, [0.0::double, 0.0::double, 20.0::double] as loads from q
+  union all select q.brand, q.i, list_sort([loads[1] + s, loads[2], loads[3]]) from lanes join q on q.brand = lanes.brand and q.i = lanes.i + 1)
+select brand, max(i) as n, arg_max(loads[3], i) as finish from lanes group by brand""")
 def lane_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When queued jobs end on the least loaded lanes."""
-    return spark.createDataFrame([(float(M.lane_finish([5, 4, 3], [2, 0], 2)),)], "finish double")
+    """When the queued jobs of each plan end on the least loaded of three lanes, one of them busy."""
+    return M.lane_finishes(table(spark, sf_dir, "part").withColumnRenamed("p_brand", "brand"), ["brand"], "p_partkey", "p_size", [20.0], 3)
 
 
 @query()

@@ -9,7 +9,7 @@ from loamline.operators import history as Hs
 from loamline.plans import jobs as J
 from loamline.plans.queries import Query, table
 from loamline.shared import fresh_path
-from loamline.sources import files, sinks
+from loamline.sources import sinks
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -97,25 +97,6 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(text,)], "report string")
 
 
-@query("select 'v.npy' as name, '3,1,2' as vals")
-def number_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors out of npy files."""
-    import io
-
-    import numpy as np
-    from pyarrow import fs
-
-    data = io.BytesIO()
-    np.save(data, np.array([3, 1, 2], np.uint32))
-    folder = fresh_path(spark, "npy")
-    store, at = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
-    store.create_dir(at, recursive=True)
-    with store.open_output_stream(f"{at}/v.npy") as out:
-        out.write(data.getvalue())
-    v = files.numpy_vectors(spark, f"{folder}/v.npy")
-    return v.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.array_join(F.col("values").cast("array<string>"), ",").alias("vals"))
-
-
 @query("select p_partkey, n_name from part join (select n_name, n_nationkey * 70 as lo, n_nationkey * 70 + 100 as hi from nation) r on p_partkey >= lo and p_partkey < hi")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in ranges, by blocks."""

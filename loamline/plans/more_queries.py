@@ -120,53 +120,85 @@ def tab_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.tsv(spark, path)
 
 
-_LOG = "--- gsm8k ---\nn....: 40\nacc....: 0.725\nnote: none\n--- mmlu ---\nacc..: 0.5\nbad: nan\n"
-
-
-@query("select * from (values ('gsm8k', 'n', 40.0::double), ('gsm8k', 'acc', 0.725), ('mmlu', 'acc', 0.5)) t(section, key, value)")
+@query("""
+with m as (select user_id, event_type as section, count(*) as n, max(value) as most from events group by 1, 2)
+select user_id, section, 'n' as key, n::double as value from m union all select user_id, section, 'most', most from m where most < 180""")
 def summary_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics out of a text log."""
-    return files.summary_metrics(spark.createDataFrame([(_LOG,)], "value string"))
-
+    """Metrics out of text logs, one of each user, where values that are no finite numbers are left out."""
+    m = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    most = F.when(F.col("most") < 180, F.col("most").cast("string")).when(F.col("n") % 2 == 0, "nan").otherwise("none")
+    part = F.concat(F.lit("--- "), "event_type", F.lit(" ---\nn....: "), "n", F.lit("\nmost..: "), most, F.lit("\nnote: two words\n"))
+    logs = m.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(part)), "").alias("value"))
+    return files.summary_metrics(logs, keep=["user_id"])
 
-_STATUS = [
-    "2026-07-28T19:00:00+02:00\tSTART train until training step_100 gpu_0,1,2 attempt_1_of_1 batch_-",
-    "2026-07-28T19:05:00+02:00\tSTART eval7 a gpu_3 attempt_1_of_2 batch_13",
-    "2026-07-28T19:06:00+02:00\tFAILED eval7 a gpu_3 attempt_1_of_2 batch_13",
-    "noise",
-]
 
-
-@query("select * from (values ('START', 'train', '0,1,2', '-'), ('START', 'eval7', '3', '13'), ('FAILED', 'eval7', '3', '13')) t(action, job, gpus, batch)")
+@query("""
+select date_trunc('second', ts) as ts, ['START', 'END', 'FAILED', 'STOPPED'][event_id % 5 + 1] as action, event_type || event_id as job, case when event_id % 3 = 0 then '' else user_id % 8 || ',' || event_id % 8 end as gpus, case when event_id % 2 = 0 then '-' else user_id::varchar end as batch
+from events where event_id % 5 < 4""")
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events out of a status log."""
-    log = files.event_log(spark.createDataFrame([(x,) for x in _STATUS], "value string"))
-    return log.select("action", "job", F.array_join(F.col("gpus").cast("array<string>"), ",").alias("gpus"), "batch")
-
-
-@query("select 101120::bigint as done, 268857::bigint as total, 1.6::double as per_second union all select 110, 1000, 0.5")
+    """Events out of a status log with other lines between."""
+    devices = F.when(F.col("event_id") % 3 == 0, "gpu_none").otherwise(F.concat(F.lit("gpu_"), F.col("user_id") % 8, F.lit(","), F.col("event_id") % 8))
+    batch = F.when(F.col("event_id") % 2 == 0, "-").otherwise(F.col("user_id").cast("string"))
+    action = F.get(F.array(*map(F.lit, ("START", "END", "FAILED", "STOPPED", "noise"))), (F.col("event_id") % 5).cast("int"))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("\t"), action, F.lit(" "), "event_type", "event_id", F.lit(" until step_100 "), devices, F.lit(" attempt_1_of_2 batch_"), batch)
+    log = files.event_log(table(spark, sf_dir, "events").select(line.alias("value")))
+    return log.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "action", "job", F.array_join(F.col("gpus").cast("array<string>"), ",").alias("gpus"), "batch")
+
+
+@query("""
+select 'job ' || event_id as job, event_id as done, event_id + user_id as total, round(case when event_id % 2 = 0 then user_id % 8 + 0.5 else 1 / (user_id % 8 + 0.5) end, 9)::double as per_second from events where event_id % 10 <> 0
+union all select 'job ' || event_id, null, null, null from events where event_id % 10 = 0""")
 def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last progress entry of a log."""
-    lines = [("x 1/9 [00:01<00:01,  9.00it/s]\r 38%| 101120/268857 [02:12<28:58:27,  1.60it/s]",), ("110/1000 [00:20<29:40,  2.00s/it]",)]
-    return files.progress(spark.createDataFrame(lines, "value string")).drop("value")
+    """The last progress entry of each log, null where there is none."""
+    entry = F.concat(F.lit("1/9 [00:01<00:01,  9.00it/s]\r 38%| "), "event_id", F.lit("/"), F.col("event_id") + F.col("user_id"), F.lit(" [02:12<28:58:27,  "), F.col("user_id") % 8, F.when(F.col("event_id") % 2 == 0, ".50it/s]").otherwise(".50s/it]"))
+    text = F.concat(F.lit("job "), "event_id", F.lit("\n"), F.when(F.col("event_id") % 10 != 0, entry).otherwise(""))
+    out = files.progress(table(spark, sf_dir, "events").select(text.alias("value")))
+    return out.select(F.split("value", "\n")[0].alias("job"), "done", "total", F.round("per_second", 9).alias("per_second"))
 
 
-@query("select p_name as archive, 's' || k || '.json' as member, k as score from (select 'a.eval' as p_name, unnest([0, 1, 2]) as k)")
-def zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON samples out of a zip archive."""
+def _put(folder: str, contents: dict[str, bytes]) -> None:
+    """Small files in a folder that executors share."""
     from pyarrow import fs
 
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for k in (2, 0, 1):
-            z.writestr(f"samples/s{k}.json", json.dumps({"score": k}))
-    folder = fresh_path(spark, "zips")
     store, at = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
     store.create_dir(at, recursive=True)
-    with store.open_output_stream(f"{at}/a.eval") as out:
-        out.write(data.getvalue())
-    z = files.zipped_samples(spark, f"{folder}/a.eval")
-    return z.select(F.regexp_extract("archive", "([^/]+)$", 1).alias("archive"), F.regexp_extract("member", "([^/]+)$", 1).alias("member"), F.get_json_object("json", "$.score").cast("int").alias("score"))
+    for name, data in contents.items():
+        with store.open_output_stream(f"{at}/{name}") as out:
+            out.write(data)
+
+
+@query("select 'a' || n_regionkey || '.eval' as archive, 's' || n_nationkey || '.json' as member, n_name as name, n_nationkey as score from nation")
+def zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON samples out of zip archives, one of each region, with members and a file that are none."""
+    nations, archives = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").collect(), {"broken.eval": b"no archive"}
+    for region in {n[0] for n in nations}:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            z.writestr("header.json", "{}")
+            for _, key, name in (n for n in nations if n[0] == region):
+                z.writestr(f"samples/s{key}.json", json.dumps({"name": name, "score": key}))
+        archives[f"a{region}.eval"] = data.getvalue()
+    folder = fresh_path(spark, "zips")
+    _put(folder, archives)
+    z = files.zipped_samples(spark, f"{folder}/*.eval")
+    last, field = lambda c: F.regexp_extract(c, "([^/]+)$", 1).alias(c), lambda c: F.get_json_object("json", f"$.{c}")
+    return z.select(last("archive"), last("member"), field("name").alias("name"), field("score").cast("long").alias("score"))
+
+
+@query("select 'r' || n_regionkey || '.npy' as name, string_agg(n_nationkey, ',' order by n_name desc) as vals from nation group by n_regionkey")
+def number_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors out of npy files, one of each region."""
+    import numpy as np
+
+    vectors: dict[str, bytes] = {}
+    for region, keys in table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n_name", "n_nationkey"))))["n_nationkey"]).collect():
+        data = io.BytesIO()
+        np.save(data, np.array(keys, np.uint32))
+        vectors[f"r{region}.npy"] = data.getvalue()
+    folder = fresh_path(spark, "npy")
+    _put(folder, vectors)
+    v = files.numpy_vectors(spark, f"{folder}/*.npy")
+    return v.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.array_join(F.col("values").cast("array<string>"), ",").alias("vals"))
 
 
 @query("select user_id, event_type as metric, round(sum(value), 6) as value from events group by 1, 2")
@@ -176,11 +208,13 @@ def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.long_history(m.withColumn("step", F.lit(1)), "user_id", "step", "m").select("user_id", "metric", F.round("value", 6).alias("value"))
 
 
-@query("select * from (values ('wiki', 1), ('books', 2)) t(name, size)")
+@query("select source as name, doc_id from documents where (lang = 'en' or source = 'src3' or n_chars < 500) and source not in ('src1', 'src7') and doc_id % 5 <> 0")
 def source_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources by group, list and gate."""
-    c = spark.createDataFrame([("wiki", ["core"], False, 1), ("books", ["extra", "core"], None, 2), ("chat", ["core"], True, 3), ("code", ["extra"], False, 4)], "name string, groups array<string>, gated boolean, size int")
-    return files.chosen(c, ["core"], skip=["code"]).select("name", "size")
+    groups = F.array(F.col("lang"), F.col("source"), F.when(F.col("n_chars") < 500, "short").otherwise("long"))
+    gated = F.when(F.col("doc_id") % 5 == 0, True).when(F.col("doc_id") % 5 == 1, False)
+    c = table(spark, sf_dir, "documents").select(F.col("source").alias("name"), groups.alias("groups"), gated.alias("gated"), "doc_id")
+    return files.chosen(c, ["en", "src3", "short"], skip=["src1", "src7"]).select("name", "doc_id")
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -195,11 +229,22 @@ def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.nested(table(spark, sf_dir, "events").select("event_id", "props"), "props", {"k": "$.k"}).select("event_id", "k")
 
 
-@query("select * from (values ('a', true), ('b', false), ('c', true), ('d', false), ('e', true), ('f', false)) t(job_id, satisfied)")
+_STATES = ("DONE", "DONE", "DONE", "PENDING", "RUNNING", "FAILED", "DONE", "SKIPPED", "PENDING", "DONE", "PENDING")
+
+
+@query(f"""
+with recursive j as (select p_partkey as k, {list(_STATES)}[p_partkey % 11 + 1] as status, p_size % 3 = 0 as terminal from part),
+e as (select distinct k, dep from (select k, k // 2 as dep from j where k > 0 union all select k, k // 3 from j where k > 0 union all select k, -1 from j where k % 23 = 5)),
+lost as (select k from j where status in ('FAILED', 'SKIPPED') union select j.k from lost join e on e.dep = lost.k join j on j.k = e.k where j.status not in ('DONE', 'RUNNING') and not j.terminal),
+d as (select e.k, s.status as dep_status, e.dep in (select k from lost) as lost from e left join j s on s.k = e.dep)
+select j.k as job_id, coalesce(bool_and(case when terminal then dep_status is not null and (dep_status in ('DONE', 'FAILED', 'SKIPPED') or lost) else coalesce(dep_status = 'DONE', false) end) filter (d.k is not null), true) as satisfied
+from j left join d on d.k = j.k group by j.k""")
 def job_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies in success and terminal mode."""
-    rows = [("a", "FAILED", [], "success"), ("b", "PENDING", ["a"], "success"), ("c", "PENDING", ["a", "b"], "terminal"), ("d", "PENDING", ["z"], "terminal"), ("e", "DONE", [], "success"), ("f", "PENDING", ["e", "b"], "success")]
-    return J.ready(spark.createDataFrame(rows, "job_id string, status string, deps array<string>, deps_mode string"))
+    """Dependencies in success and terminal mode, over chains of jobs and jobs that are missing."""
+    k = F.col("p_partkey")
+    deps = F.array_distinct(F.array_compact(F.array(F.when(k > 0, F.floor(k / 2)), F.when(k > 0, F.floor(k / 3)), F.when(k % 23 == 5, F.lit(-1)))))
+    status, mode = F.get(F.array(*map(F.lit, _STATES)), (k % 11).cast("int")), F.when(F.col("p_size") % 3 == 0, "terminal").otherwise("success")
+    return J.ready(table(spark, sf_dir, "part").select(k.alias("job_id"), status.alias("status"), deps.cast("array<long>").alias("deps"), mode.alias("deps_mode")))
 
 
 @query("select p_partkey, printf('gen %d', p_partkey) as generation from part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -105,11 +105,11 @@ def zipped_samples(spark: SparkSession, path: str, folder: str = "samples/") ->
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, json string")
 
 
-def summary_metrics(logs: DataFrame, text: str = "value") -> DataFrame:
-    """``--- name ---`` sections of ``key....: value`` lines: ``section, key, value`` of finite numbers."""
+def summary_metrics(logs: DataFrame, text: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """``--- name ---`` sections of ``key....: value`` lines: ``section, key, value`` of finite numbers, beside the columns to ``keep``."""
     parts = F.expr(f"filter(split({text}, '(?m)^--- '), x -> x rlike '^[^\\\\n]+ ---')")
-    sections = logs.select(F.explode(parts).alias("part")).select(F.regexp_extract("part", r"^(.*?) ---", 1).alias("section"), F.explode(F.split("part", "\n")).alias("line"))
-    found = sections.select("section", F.regexp_extract("line", r"^([A-Za-z][^:]*?)\.*:\s*(\S+)\s*$", 1).alias("key"), F.regexp_extract("line", r":\s*(\S+)\s*$", 1).try_cast("double").alias("value"))
+    sections = logs.select(*keep, F.explode(parts).alias("part")).select(*keep, F.regexp_extract("part", r"^(.*?) ---", 1).alias("section"), F.explode(F.split("part", "\n")).alias("line"))
+    found = sections.select(*keep, "section", F.regexp_extract("line", r"^([A-Za-z][^:]*?)\.*:\s*(\S+)\s*$", 1).alias("key"), F.regexp_extract("line", r":\s*(\S+)\s*$", 1).try_cast("double").alias("value"))
     return found.filter("key <> '' and value is not null and not isnan(value) and abs(value) < double('infinity')")
 
 

@@ -431,3 +431,9 @@ def test_white_space_as_the_pattern_has_it(spark):
     line = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ +| +$", "")
     blanks = F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), r"(?U)^\s+|\s+$", "")
     assert df.filter((X.strip(t) != plain) | (X.clean_line(t) != line) | (X.clean_blanks(t) != blanks)).count() == 0
+
+
+def test_lanes_of_queues(spark):
+    rows = [(b, i, s) for b in "ab" for i, s in enumerate([5.0, 4.0, 3.0, 9.0, 1.0][: 5 if b == "a" else 3])] + [("c", 0, None)]
+    got = {r["b"]: (r["n"], r["finish"]) for r in M.lane_finishes(spark.createDataFrame(rows, "b string, i int, s double"), ["b"], "i", "s", [2, 0], 2).collect()}
+    assert got == {"a": (5, M.lane_finish([5, 4, 3, 9, 1], [2, 0], 2)), "b": (3, M.lane_finish([5, 4, 3], [2, 0], 2)), "c": (1, 2.0)}
