@@ -1,15 +1,17 @@
-"""Near copies by five-word shingles: candidates from MinHash bands, each checked by its exact Jaccard similarity.
+"""Near copies by SimHash fingerprints of five-word shingles, each link checked by its exact Jaccard similarity.
 
 Two texts are linked if the sets of their shingles (XXH64 of ``WIDTH`` words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a shorter
-text is one shingle) have a Jaccard similarity of ``LEAST`` or more.  64-bit SimHash fingerprints of such texts differ in up to
-19 bits, for which no block keys are selective, so candidates share one of ``BANDS`` bands of ``ROWS`` minima instead:
-a pair at similarity 0.8 is a candidate with probability 0.9998.
+text is one shingle) have a Jaccard similarity of ``LEAST`` or more.  The 64 bits of such texts' fingerprints differ in 10 on average and up to 19 or more,
+for which no block keys of one fingerprint are selective.  So a set has ``COUNT`` fingerprints (sets of seven at most ``COUNT_SHORT``), each dealt to four
+groups by its blocks of 16 bits (and by size: sets within 5 : 4 meet), whose tries are joined with themselves at a budget of ``BUDGET`` bits (``simhash.close_sets``).
+A pair at similarity 0.8 differs in 0.152 of the bits (4 shingles of 5: 0.188, 5 of 6: 0.156) and is met in one group at least with probability 0.9999; closer ones more surely.
 
-Texts with equal sets are one node before that, and groups with the same members are one group.  Hash sets are shuffled in two passes:
+What a trie connects is a group of candidates.  Groups with the same members are one group, and texts with equal sets are one node before all that.
+Hash sets are shuffled in two passes:
 
-1. The groups of the first ``FIRST`` bands.  A group of more than ``large`` texts is dealt to chunks by hash, each with the group's
+1. The groups of the first ``FIRST`` tables (a fingerprint's block each).  A group of more than ``large`` texts is dealt to chunks by hash, each with the group's
    least text; within a chunk a search goes from each text over those not yet reached, so what is linked is not compared again.
-2. Of the other groups, and the large ones of the first bands, those that the components of the first pass have not joined yet.
+2. Of the other groups, and the large ones of the first tables, those that the components of the first pass have not joined yet.
    Chunks hold texts of one component, or several small components; pairs of chunks are searched, but for those of a
    single component.  So a group of very many copies with few others costs copies times others, not its square.
 
@@ -30,14 +32,17 @@ from pyspark.sql import functions as F
 
 from loamline.llm.components import components
 from loamline.llm.encoding import slices
+from loamline.llm.simhash import close_sets, set_fingerprints
 from loamline.llm.words import LONG, parts_of
-from loamline.shared import cut, map_batches
+from loamline.shared import cut, map_batches, small
 
 WIDTH = 5
-BANDS, ROWS, FIRST = 16, 4, 4
+#: Fingerprints of a set, of one with seven shingles at most, and the bits that may differ in one; the tables (four a fingerprint) of the first pass.
+COUNT, COUNT_SHORT, BUDGET, FIRST = 40, 96, 10, 32
+#: Ids of candidates that are broadcast at most; with more, documents are shuffled to them.
+MOST_IDS = 2_000_000
 #: Least similarity of a link, as a ratio of whole numbers.
 LEAST = (4, 5)
-_MIX = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -57,22 +62,19 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys of a set: hashes of ``ROWS`` minima each, the band's number mixed in."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        mixed = (hashes[at : at + 4096, None] ^ _MIX[0]) * _MIX[1]
-        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprints of a set; none if it is too small for another set to be at ``LEAST`` (all under the least share but equal ones)."""
+    n = len(hashes)
+    return set_fingerprints(hashes, COUNT_SHORT if n <= 7 else COUNT) if n * (LEAST[1] - LEAST[0]) >= LEAST[0] else np.zeros(0, np.uint64)
+
+
+def parts(size: int) -> list[int]:
+    """Bit lengths of a set's size and of the greatest that it may be linked to: of two linked sets the lesser has the greater's."""
+    return sorted({size.bit_length(), (size * LEAST[1] // LEAST[0]).bit_length()})
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
-    """``doc_id, node`` of each row with an id, ``node`` a hash of its set; and its ``bands`` (empty without words) or, if ``whole``, its ``hashes``."""
-    name, kind, width = ("hashes", pa.binary(), None) if whole else ("bands", pa.list_(pa.int64()), BANDS)
+    """``doc_id, node`` of each row with an id, ``node`` a hash of its set; and its ``parts`` and ``fps`` or, if ``whole``, its ``hashes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -82,11 +84,14 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame
             for lo, hi in slices(texts):
                 sets = [shingles(t) for t in texts[lo:hi].to_pylist()]
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                told = [s.tobytes() if whole else bands(s).view(np.int64) if len(s) else [] for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(nodes), pa.array(told, kind)], ["doc_id", "node", name])
+                if whole:
+                    told = {"hashes": pa.array([s.tobytes() for s in sets], pa.binary())}
+                else:
+                    told = {"parts": pa.array([parts(len(s)) for s in sets], pa.list_(pa.int32())), "fps": pa.array([fingerprints(s).view(np.int64) for s in sets], pa.list_(pa.int64()))}
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(nodes), *told.values()], ["doc_id", "node", *told])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    return map_batches(rows, run, f"doc_id long, node long, {name} {'binary' if width is None else 'array<long>'}")
+    return map_batches(rows, run, f"doc_id long, node long, {'hashes binary' if whole else 'parts array<int>, fps array<long>'}")
 
 
 def linked(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -133,17 +138,17 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(keyed: DataFrame) -> DataFrame:
-    """``key, n`` of the groups of ``key, node`` with two members or more; of groups with the same members, one (by two 64-bit sums of hashes)."""
+    """``key, n`` of the groups of ``key, node`` with two members or more; of groups with the same members, that of the first table (by two 64-bit sums of hashes)."""
     of = F.xxhash64("node")
-    whole = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(of).alias("x"), F.bit_xor(F.xxhash64(of, F.lit(1))).alias("y")).filter("n > 1")
-    return whole.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    whole = keyed.groupBy("key").agg(F.min("table").alias("table"), F.count("*").alias("n"), F.bit_xor(of).alias("x"), F.bit_xor(F.xxhash64(of, F.lit(1))).alias("y")).filter("n > 1")
+    return whole.groupBy("n", "x", "y").agg(F.min(F.struct("table", "key")).alias("least")).select("least.key", "n")
 
 
 def _links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links ``a, b`` found among the rows ``key, sub, node, doc_id`` of each key and sub; hash sets are made anew from the texts that take part."""
     rows = cut(rows)
     # of a candidate's rows those with another set go by the join with its node
-    texts = docs.join(rows.select(F.col("doc_id").alias("__id")).distinct(), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+    texts = docs.join(small(rows.select(F.col("doc_id").alias("__id")).distinct(), MOST_IDS), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
     sets = _sets(texts, id_col, text_col, True).groupBy("node").agg(F.first("hashes").alias("hashes"))
     met = rows.join(sets, "node").select("key", "sub", "doc_id", "hashes").repartition("key", "sub").sortWithinPartitions("key", "sub", "doc_id")
     return cut(map_batches(met, _search, "a long, b long"))
@@ -180,12 +185,13 @@ def _second_pass(grouped: DataFrame, large: int) -> DataFrame:
 def near_copies(docs: DataFrame, *, large: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` for every row with an id: the least id of its component."""
     known = cut(_sets(docs, id_col, text_col, False))
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    keyed = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "doc_id")
-    grouped = cut(keyed.join(_groups(keyed), "key"))
-    first = _links(_first_pass(grouped.filter(F.col("band") < FIRST), large), docs, id_col, text_col)
+    nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), F.first("fps").alias("fps"))
+    close = cut(close_sets(nodes.select("node", "parts", "fps"), BUDGET))
+    keyed = close.join(nodes.select("node", "doc_id"), "node")
+    grouped = cut(keyed.join(_groups(close), "key"))
+    first = _links(_first_pass(grouped.filter(F.col("table") < FIRST), large), docs, id_col, text_col)
     joined = cut(components(first))
-    left = grouped.filter((F.col("band") >= FIRST) | (F.col("n") > large)).join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    left = grouped.filter((F.col("table") >= FIRST) | (F.col("n") > large)).join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     left = cut(left.withColumn("component", F.coalesce("component", "doc_id")))
     second = _links(_second_pass(left, large), docs, id_col, text_col)
     found = components(first.unionByName(second))

@@ -14,6 +14,9 @@ star for each of its connected sets, not its pairs.
 
 Components are found over the whole link table (``components.py``).
 
+Wider budgets (``close_sets``, for ``near_copies.py``): many fingerprints of one set of hashes, each dealt to a group for every block of 16 bits; the
+same trie joins the groups.
+
 Rules: a null text is one without words; texts without words have fingerprint zero and link like any other;
 texts of one or two words are one shingle; repeated rows share their fingerprint; rows with a null id are
 in the component of their fingerprint (null if no id is there); an empty table gives no rows; other columns are ignored.
@@ -34,10 +37,12 @@ from loamline.llm.encoding import slices
 from loamline.llm.words import LONG, parts_of
 from loamline.shared import cut, map_batches, named, packed, unpacked
 
-#: Pairs of trie nodes that are worked on at once.
-_AT_ONCE = 500_000
+#: Pairs of trie nodes that are worked on at once, and where connected ones are left out.
+_AT_ONCE, _AT_ONCE_JOINED = 500_000, 50_000
 #: Bytes of a text worked on at once.
 _PART = LONG
+#: For each further fingerprint, what is mixed into a hash.
+_MIX = np.random.default_rng(11).integers(0, 1 << 63, (2, 96), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -62,6 +67,16 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
 
 
+def set_fingerprints(hashes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` unsigned fingerprints of a set of 64-bit hashes: a bit of each is one if it is set in over half of the hashes as mixed for it."""
+    ones = np.zeros(64 * count, np.int64)
+    for at in range(0, len(hashes), 240):  # sums fit a byte
+        mixed = (hashes[at : at + 240, None] ^ _MIX[0, :count]) * _MIX[1, :count]
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint as the long with the same bits."""
 
@@ -75,20 +90,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, run, "doc_id long, fp long")
 
 
-def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, visits: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, visits: list[int] | None = None, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs within ``budget`` bits in each range of ``fps`` (unsigned, ascending in each range, distinct).
 
     A node is a range of ``fps`` with equal upper bits.  Each range's root is paired with itself; a pair of nodes goes down to the pairs of their children,
     a bit that differs is counted, and a pair beyond the budget is pruned.  A node with one leaf is that leaf, so a pair of such is settled
-    by its remaining bits.  ``visits`` gets the number of node pairs of each step.
+    by its remaining bits.  ``visits`` gets the number of node pairs of each step.  If what is yielded is joined in ``label`` (in place, equal for what
+    is connected), pairs of nodes that are connected throughout are left out, so a crowd of close fingerprints costs far less than its pairs.
     """
-    lo, hi = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    lo, hi, yielded = np.asarray(starts, np.int64), np.asarray(ends, np.int64), False
+    at_once = _AT_ONCE if label is None else min(_AT_ONCE, _AT_ONCE_JOINED)
     stack = [(63, np.stack([lo, hi, lo, hi, np.zeros(len(lo), np.int64)]))]
     while stack:
         level, pairs = stack.pop()
-        if pairs.shape[1] > _AT_ONCE:  # in parts, so that memory doesn't grow with the pairs of a level
-            stack += [(level, part) for part in np.array_split(pairs, -(-pairs.shape[1] // _AT_ONCE), axis=1)]
+        if pairs.shape[1] > at_once:  # in parts, so that memory doesn't grow with the pairs of a level
+            stack += [(level, part) for part in np.array_split(pairs, -(-pairs.shape[1] // at_once), axis=1)]
             continue
+        if yielded and label is not None:
+            run = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+            lo1, hi1, lo2, hi2, _ = pairs
+            pairs = pairs[:, (run[lo1] != run[hi1 - 1]) | (run[lo2] != run[hi2 - 1]) | (label[lo1] != label[lo2])]
+            if not pairs.shape[1]:
+                continue
         if visits is not None:
             visits.append(pairs.shape[1])
         lo1, hi1, lo2, hi2, differ = pairs
@@ -97,6 +120,7 @@ def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: in
         below = np.uint64((1 << (level + 1)) - 1)
         near = (a != b) & (differ[leaf] + np.bitwise_count((fps[a] ^ fps[b]) & below) <= budget)
         if near.any():
+            yielded = True
             yield a[near], b[near]
         if leaf.all():
             continue
@@ -124,10 +148,8 @@ def _middle(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.n
     return lo
 
 
-def _stars(group: np.ndarray, fps: np.ndarray, nodes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each linked node to the first of its connected set, over whole groups."""
-    order = np.lexsort((fps, group))
-    group, fps, nodes = group[order], fps[order], nodes[order]
+def _connected(group: np.ndarray, fps: np.ndarray, budget: int) -> np.ndarray:
+    """The position of the first of its connected set for each fingerprint of whole groups (ascending by group and fingerprint, distinct)."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     label = np.arange(len(fps))
 
@@ -136,7 +158,7 @@ def _stars(group: np.ndarray, fps: np.ndarray, nodes: np.ndarray, budget: int) -
             label[i] = i = label[label[i]]
         return i
 
-    for a, b in trie_pairs(fps, starts, np.concatenate([starts[1:], [len(fps)]]), budget):
+    for a, b in trie_pairs(fps, starts, np.concatenate([starts[1:], [len(fps)]]), budget, label=label):
         while True:
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
@@ -147,7 +169,15 @@ def _stars(group: np.ndarray, fps: np.ndarray, nodes: np.ndarray, budget: int) -
                 if x != y:
                     label[max(x, y)] = min(x, y)
             while (label[label] != label).any():
-                label = label[label]
+                label[:] = label[label]
+    return label
+
+
+def _stars(group: np.ndarray, fps: np.ndarray, nodes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each linked node to the first of its connected set, over whole groups."""
+    order = np.lexsort((fps, group))
+    group, fps, nodes = group[order], fps[order], nodes[order]
+    label = _connected(group, fps, budget)
     linked = label != np.arange(len(fps))
     return nodes[linked], nodes[label[linked]]
 
@@ -203,6 +233,49 @@ def links(nodes: DataFrame, large: int = 4096) -> DataFrame:
     return map_batches(rows, lambda b: _join_groups(b, budget), "a long, b long")
 
 
+def _join_keys(batches: Iterator[pa.RecordBatch], budget: int, at_once: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, fp, node`` ordered by key; ``key, first, node`` come out for every member of a connected set of two or more, ``first`` naming the set."""
+    held, n = [], 0
+
+    def sets(rows: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+        rows = rows[np.repeat(np.diff(edge) > 1, np.diff(edge))]
+        key, fps, node = rows[:, 0], np.ascontiguousarray(rows[:, 1]).view(np.uint64), rows[:, 2]
+        order = np.lexsort((node, fps, key))
+        key, fps, node = key[order], fps[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (fps[1:] != fps[:-1])
+        label = _connected(key[new], fps[new], budget)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
+        several = np.bincount(label)[label] > 1
+        return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (key, node[new][label], node)], ["key", "first", "node"])
+
+    for batch in batches:
+        held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+        n += len(held[-1])
+        if n >= at_once and held[-1][-1, 0] != held[0][0, 0]:
+            rows = np.concatenate(held)
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            yield sets(rows[:last])
+            held, n = [rows[last:]], len(rows) - last
+    if n:
+        yield sets(np.concatenate(held))
+
+
+def close_sets(nodes: DataFrame, budget: int) -> DataFrame:
+    """``table, key, node``: the members of each set (``key``) that links within ``budget`` bits connect in a group.
+
+    ``nodes`` has ``node`` (long, distinct), ``fps`` (array of longs) and ``parts`` (array of ints under 64).  A group is one part, one fingerprint of the array and one
+    block of 16 of its bits (the two are the ``table``), with equal bits in the block; each group's trie is joined with itself.
+    """
+    rotated = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseOR(F.shiftleft("fp", 64 - 16 * i)) if i else F.col("fp")
+    key = lambda i: F.shiftleft((F.col("n") * 4 + i).cast("long") * 64 + F.col("part"), 16).bitwiseOR(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF))
+    rows = nodes.select("node", F.explode("parts").alias("part"), "fps").select("node", "part", F.posexplode("fps").alias("n", "fp"))
+    rows = rows.select("node", F.explode(F.array(*[F.struct(key(i).alias("key"), rotated(i).alias("fp")) for i in range(4)])).alias("r"))
+    rows = rows.select("r.key", "r.fp", "node").repartition("key").sortWithinPartitions("key")
+    found = map_batches(rows, lambda b: _join_keys(b, budget), "key long, first long, node long")
+    return found.select(F.shiftright("key", 22).cast("int").alias("table"), F.xxhash64("key", "first").alias("key"), "node")
+
+
 def near_duplicates(docs: DataFrame, *, large: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row."""
     fps = cut(fingerprints(docs, id_col, text_col))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loamline.llm import near_copies
+from loamline.llm import near_copies, simhash
 
 
 def slow_components(texts):
@@ -92,3 +92,62 @@ def test_parts(monkeypatch):
     monkeypatch.setattr(near_copies, "LONG", 50)
     monkeypatch.setattr(near_copies, "parts_of", lambda t, _: __import__("loamline.llm.words", fromlist=["x"]).parts_of(t, 50))
     assert len(want) == 700 and (near_copies.shingles(text) == want).all()
+
+
+def test_candidates_are_of_simhash_tries(spark, changed):
+    """Sets of candidates are just what the bits connect: equal block and size part, budget kept, fingerprint by fingerprint."""
+    sets = {i: near_copies.shingles((t or "").encode()) for i, t in changed.items()}
+    fps = {i: near_copies.fingerprints(s) for i, s in sets.items()}
+    rows = [(i, near_copies.parts(len(sets[i])), f.view(np.int64).tolist()) for i, f in fps.items()]
+    found = {}
+    for r in simhash.close_sets(spark.createDataFrame(rows, "node long, parts array<int>, fps array<long>"), near_copies.BUDGET).collect():
+        found.setdefault((r.table, r.key), set()).add(r.node)
+    want = []
+    for table in range(4 * near_copies.COUNT):
+        n, block = divmod(table, 4)
+        groups = {}
+        for i, f in fps.items():
+            for part in near_copies.parts(len(sets[i])):
+                if len(f):
+                    groups.setdefault((part, int(f[n]) >> 16 * block & 0xFFFF), []).append(i)
+        for group in groups.values():
+            while group:
+                reached, todo = set(), [group[0]]
+                while todo:
+                    at = todo.pop()
+                    reached.add(at)
+                    todo += [i for i in group if i not in reached and i not in todo and int(fps[i][n] ^ fps[at][n]).bit_count() <= near_copies.BUDGET]
+                group = [i for i in group if i not in reached]
+                want += [(table, tuple(sorted(reached)))] if len(reached) > 1 else []
+    assert sorted((t, tuple(sorted(m))) for (t, _), m in found.items()) == sorted(want) and len(want) > 500
+
+
+@pytest.mark.parametrize("first, second, both", [(4, 5, 4), (6, 7, 6), (90, 90, 80), (80, 100, 80)])
+def test_fingerprints_meet(first, second, both):
+    """Pairs at the least similarities share a block within the budget, and a size part."""
+    rng, missed = np.random.default_rng(first), 0
+    assert set(near_copies.parts(first)) & set(near_copies.parts(second))
+    for _ in range(1000):
+        hashes = rng.integers(0, 1 << 64, first + second - both, dtype=np.uint64)
+        differ = near_copies.fingerprints(hashes[:first]) ^ near_copies.fingerprints(hashes[first - both :])
+        blocks = differ.view(np.uint16).reshape(-1, 4) == 0
+        missed += not (blocks.any(1) & (np.bitwise_count(differ) <= near_copies.BUDGET)).any()
+    assert missed <= 2
+
+
+def test_crowd_costs_less_than_its_pairs():
+    """A crowd of close fingerprints is connected without visiting all its pairs."""
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.uint64(0x123456789ABCDEF0) ^ (np.uint64(1) << rng.integers(0, 64, (6000, 3), dtype=np.uint64)).sum(1, dtype=np.uint64))
+    visits = []
+    label = np.arange(len(fps))
+    for a, b in simhash.trie_pairs(fps, [0], [len(fps)], 10, visits, label):
+        for x, y in zip(label[a].tolist(), label[b].tolist()):
+            while label[x] != x:
+                x = label[x]
+            while label[y] != y:
+                y = label[y]
+            label[max(x, y)] = min(x, y)
+        while (label[label] != label).any():
+            label[:] = label[label]
+    assert (label == 0).all() and sum(visits) < len(fps) ** 2 / 4
