@@ -7,11 +7,13 @@ groups by its blocks of 16 bits (and by size: sets within 5 : 4 meet), whose tri
 A pair at similarity 0.8 differs in 0.152 of the bits (4 shingles of 5: 0.188, 5 of 6: 0.156) and is met in one group at least with probability 0.9999; closer ones more surely.
 
 What a trie connects is a group of candidates.  Groups with the same members are one group, and texts with equal sets are one node before all that.
+The groups of near texts overlap in most of the tables, so what all groups together connect (a crowd) is one group in place of those in it, each text once, wherever
+comparing all of it costs no more than comparing the groups (``_cost``); a wide crowd of narrow groups, as a long chain is, keeps its groups.
 Hash sets are shuffled in two passes:
 
-1. The groups of the first ``FIRST`` tables (a fingerprint's block each).  A group of more than ``large`` texts is dealt to chunks by hash, each with the group's
+1. The crowds, and the groups of the first ``FIRST`` tables (a fingerprint's block each).  A group of more than ``large`` texts is dealt to chunks by hash, each with the group's
    least text; within a chunk a search goes from each text over those not yet reached, so what is linked is not compared again.
-2. Of the other groups, and the large ones of the first tables, those that the components of the first pass have not joined yet.
+2. Of the other groups, and the large ones of the first pass, those that the components of the first pass have not joined yet.
    Chunks hold texts of one component, or several small components; pairs of chunks are searched, but for those of a
    single component.  So a group of very many copies with few others costs copies times others, not its square.
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.components import components
+from loamline.llm.components import components, forest
 from loamline.llm.encoding import slices
 from loamline.llm.simhash import close_sets, set_fingerprints
 from loamline.llm.words import LONG, parts_of
@@ -39,6 +41,8 @@ from loamline.shared import cut, map_batches, small
 WIDTH = 5
 #: Fingerprints of a set, of one with seven shingles at most, and the bits that may differ in one; the tables (four a fingerprint) of the first pass.
 COUNT, COUNT_SHORT, BUDGET, FIRST = 40, 96, 10, 32
+#: What bringing a text to a group costs, in comparisons of two texts.
+ROW = 64
 #: Ids of candidates that are broadcast at most; with more, documents are shuffled to them.
 MOST_IDS = 2_000_000
 #: Least similarity of a link, as a ratio of whole numbers.
@@ -138,10 +142,29 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(keyed: DataFrame) -> DataFrame:
-    """``key, n`` of the groups of ``key, node`` with two members or more; of groups with the same members, that of the first table (by two 64-bit sums of hashes)."""
+    """``key, n, node`` (the least) of the groups of ``key, node`` with two members or more; of groups with the same members, that of the first table (by two 64-bit sums of hashes)."""
     of = F.xxhash64("node")
-    whole = keyed.groupBy("key").agg(F.min("table").alias("table"), F.count("*").alias("n"), F.bit_xor(of).alias("x"), F.bit_xor(F.xxhash64(of, F.lit(1))).alias("y")).filter("n > 1")
-    return whole.groupBy("n", "x", "y").agg(F.min(F.struct("table", "key")).alias("least")).select("least.key", "n")
+    whole = keyed.groupBy("key").agg(F.min("table").alias("table"), F.count("*").alias("n"), F.min("node").alias("node"), F.bit_xor(of).alias("x"), F.bit_xor(F.xxhash64(of, F.lit(1))).alias("y")).filter("n > 1")
+    return whole.groupBy("n", "x", "y").agg(F.min(F.struct("table", "key", "node")).alias("least")).select("least.key", "n", "least.node")
+
+
+def _cost(n: str) -> F.Column:
+    """Of a search over ``n`` texts, in comparisons."""
+    return F.col(n).cast("double") * (F.col(n) + ROW)
+
+
+def _grouped(close: DataFrame, nodes: DataFrame, large: int) -> DataFrame:
+    """``key, table, n, node, doc_id``: the groups to search; a crowd that is one group has table -1, and an ``n`` of 1 if it has ``large`` texts at most."""
+    crowds = cut(components(forest(close.select(F.col("first").alias("a"), F.col("node").alias("b")))).withColumnRenamed("component", "crowd"))
+    groups = cut(_groups(close).join(crowds, "node").select("key", "n", "crowd"))
+    of_crowd = crowds.groupBy("crowd").agg(F.count("*").alias("m"))
+    costs = of_crowd.join(groups.groupBy("crowd").agg(F.sum(_cost("n")).alias("cost")), "crowd").select("crowd", "m", (_cost("m") <= F.col("cost")).alias("one"))
+    odd = small(costs.filter((F.col("m") > large) | ~F.col("one")))
+    members = cut(crowds.join(odd, "crowd", "left").join(nodes.select("node", "doc_id"), "node").withColumn("one", F.coalesce("one", F.lit(True))))
+    ones = members.filter("one").select(F.col("crowd").alias("key"), F.lit(-1).alias("table"), F.coalesce("m", F.lit(1).cast("long")).alias("n"), "node", "doc_id")
+    kept = groups.join(odd.filter(~F.col("one")).select("crowd"), "crowd", "left_semi").select("key", "n")
+    others = close.join(members.filter(~F.col("one")).select("node", "doc_id"), "node").join(kept, "key").select("key", "table", "n", "node", "doc_id")
+    return cut(ones.unionByName(others))
 
 
 def _links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -187,8 +210,7 @@ def near_copies(docs: DataFrame, *, large: int = 512, id_col: str = "doc_id", te
     known = cut(_sets(docs, id_col, text_col, False))
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), F.first("fps").alias("fps"))
     close = cut(close_sets(nodes.select("node", "parts", "fps"), BUDGET))
-    keyed = close.join(nodes.select("node", "doc_id"), "node")
-    grouped = cut(keyed.join(_groups(close), "key"))
+    grouped = _grouped(close, nodes, large)
     first = _links(_first_pass(grouped.filter(F.col("table") < FIRST), large), docs, id_col, text_col)
     joined = cut(components(first))
     left = grouped.filter((F.col("table") >= FIRST) | (F.col("n") > large)).join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")

@@ -262,7 +262,7 @@ def _join_keys(batches: Iterator[pa.RecordBatch], budget: int, at_once: int = 10
 
 
 def close_sets(nodes: DataFrame, budget: int) -> DataFrame:
-    """``table, key, node``: the members of each set (``key``) that links within ``budget`` bits connect in a group.
+    """``table, key, first, node``: the members of each set (``key``; ``first`` is one of them) that links within ``budget`` bits connect in a group.
 
     ``nodes`` has ``node`` (long, distinct), ``fps`` (array of longs) and ``parts`` (array of ints under 64).  A group is one part, one fingerprint of the array and one
     block of 16 of its bits (the two are the ``table``), with equal bits in the block; each group's trie is joined with itself.
@@ -273,7 +273,7 @@ def close_sets(nodes: DataFrame, budget: int) -> DataFrame:
     rows = rows.select("node", F.explode(F.array(*[F.struct(key(i).alias("key"), rotated(i).alias("fp")) for i in range(4)])).alias("r"))
     rows = rows.select("r.key", "r.fp", "node").repartition("key").sortWithinPartitions("key")
     found = map_batches(rows, lambda b: _join_keys(b, budget), "key long, first long, node long")
-    return found.select(F.shiftright("key", 22).cast("int").alias("table"), F.xxhash64("key", "first").alias("key"), "node")
+    return found.select(F.shiftright("key", 22).cast("int").alias("table"), F.xxhash64("key", "first").alias("key"), "first", "node")
 
 
 def near_duplicates(docs: DataFrame, *, large: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

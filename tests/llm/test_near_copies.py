@@ -151,3 +151,30 @@ def test_crowd_costs_less_than_its_pairs():
         while (label[label] != label).any():
             label[:] = label[label]
     assert (label == 0).all() and sum(visits) < len(fps) ** 2 / 4
+
+
+def test_crowd_is_searched_once(spark, monkeypatch):
+    """Near texts that meet in many tables, linked or not, are brought to the search once each, and not again for each table."""
+    rng, brought, count = np.random.default_rng(9), [], 60
+    first = rng.choice(np.array([f"w{i}" for i in range(5000)]), 100)
+    texts = {}
+    for i in range(count):
+        copy = first.copy()
+        copy[rng.choice(100, 1 + i % 3, replace=False)] = f"x{i}"
+        texts[i] = " ".join(copy)
+    search = near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda rows, *more: brought.append(rows.count()) or search(rows, *more))
+    want = slow_components(texts)
+    assert found(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == want and 1 < len(set(want.values())) < count
+    assert sum(brought) <= count
+
+
+def test_wide_crowd_of_narrow_groups_keeps_them(spark):
+    """A chain of 200 nodes in pairs would cost more as one group; 30 nodes in three groups of 20 cost less; 600 in four of 450 are marked as large."""
+    groups = [[i, i + 1] for i in range(199)] + [list(range(1000, 1030))[k : k + 20] for k in (0, 5, 10)] + [list(range(2000, 2600))[k : k + 450] for k in (0, 50, 100, 150)]
+    close = spark.createDataFrame([(40, key, min(g), i) for key, g in enumerate(groups) for i in g], "table int, key long, first long, node long").repartition(5)
+    nodes = close.select("node", (close.node + 7).alias("doc_id")).distinct()
+    rows = near_copies._grouped(close.checkpoint(), nodes, 512).collect()
+    assert sorted((r.key, r.table, r.n, r.node) for r in rows if r.table == 40) == [(key, 40, 2, i) for key in range(199) for i in (key, key + 1)]
+    assert sorted((r.key, r.n, r.node) for r in rows if r.table == -1) == [(1000, 1, i) for i in range(1000, 1030)] + [(2000, 600, i) for i in range(2000, 2600)]
+    assert all(r.doc_id == r.node + 7 for r in rows)

@@ -126,3 +126,18 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1000, 1002)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_forest(spark, monkeypatch):
+    """Fewer links connect the same, also where they come in parts."""
+    rng = np.random.default_rng(12)
+    pairs = np.concatenate([rng.integers(0, 400, (500, 2)) * 3, rng.integers(5000, 5040, (3000, 2))])
+    links = spark.createDataFrame(pairs.tolist(), "a long, b long").repartition(7)
+    want = {(r.node, r.component) for r in components.components(links).collect()}
+    fewer = components.forest(links.checkpoint()).collect()
+    assert len(fewer) == len({n for n, _ in want}) - len({c for _, c in want})
+    assert {(r.node, r.component) for r in components.components(spark.createDataFrame(fewer)).collect()} == want
+    monkeypatch.setattr(components, "_AT_ONCE", 300)
+    parts = list(components._forest(iter(spark.createDataFrame(pairs.tolist(), "a long, b long").toArrow().to_batches(100))))
+    assert len(parts) > 5
+    assert {(r.node, r.component) for r in components.components(spark.createDataFrame([r for p in parts for r in zip(*p.to_pydict().values())], "a long, b long")).collect()} == want
